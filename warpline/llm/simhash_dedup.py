@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warpline.llm.common import Scratch, connected_components, text_batches
@@ -120,16 +120,18 @@ def text_print(text: str | None, width: int) -> int:
     return int(np.packbits(ones * 2 > len(values), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, print): the SimHash of every whole text. Null and empty texts have the fingerprint zero."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, print): the SimHash of every whole text. Null and empty texts have the fingerprint zero."""
+    names = [id_col, *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            prints = [text_print(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=[id_col, "print"])
+            prints = [text_print(t, width) for t in batch.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(prints, pa.int64())], names=[*names, "print"])
 
-    slim = docs.select(id_col, text_col)
-    return slim.mapInArrow(run, f"{id_col} {slim.schema[id_col].dataType.simpleString()}, print bigint")
+    slim = docs.select(*names, text_col)
+    kinds = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in names)
+    return slim.mapInArrow(run, f"{kinds}, print bigint")
 
 
 def hex_print(column: Column | str) -> Column:
@@ -145,8 +147,8 @@ def print_links(prints: DataFrame) -> DataFrame:
     return h.join(r, (F.col("h.anchor") == F.col("r.anchor")) & near).select(F.col("h.print").alias("a"), F.col("r.print").alias("b"))
 
 
-def simhash_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, fingerprint (16 hex digits) and component_id.
+def simhash_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id, and the columns to ``carry``.
 
     component_id is the smallest id reachable through links of at most two differing bits, the row's
     own included. Null and empty texts share the fingerprint zero and are linked like any other;
@@ -154,10 +156,28 @@ def simhash_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text
     Repeated rows stay. Other columns are ignored. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.save(fingerprints(docs, width, id_col, text_col), "prints")
+    rows = scratch.save(fingerprints(docs, width, id_col, text_col, carry), "prints")
     classes = scratch.save(rows.groupBy("print").agg(F.min(id_col).alias("first")), "classes")
     roots = connected_components(print_links(classes), scratch)
     placed = classes.join(roots, classes["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(least, "root").select("print", "component_id")
-    return rows.join(named, "print").select(id_col, hex_print("print").alias("fingerprint"), "component_id")
+    return rows.join(named, "print").select(id_col, hex_print("print").alias("fingerprint"), "component_id", *carry)
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: the one with the smallest id, null ids last, then by a hash of the text.
+
+    Rows equal in id and text are one document, of which one row stays. Texts are joined to a slim
+    table of rows to keep; their fingerprints, links and components never carry them.
+    """
+    keys = [F.xxhash64(F.lit(s), id_col, text_col).alias(f"_k{s}") for s in (1, 2)]
+    keyed = docs.select("*", *keys)
+    groups = simhash_groups(keyed, width, id_col, text_col, ("_k1", "_k2"))
+    # A group without any id is known by its fingerprint, which all groups but equal ones differ in.
+    group = [F.col("component_id").isNull().alias("g0"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("g1"), F.col("component_id").alias("g2")]
+    first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"))).alias("w")
+    winners = groups.groupBy(*group).agg(first).select(F.col("w.k1").alias("_w1"), F.col("w.k2").alias("_w2")).distinct()
+    kept = keyed.join(winners, (F.col("_k1") == F.col("_w1")) & (F.col("_k2") == F.col("_w2")))
+    turn = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_w1"))
+    return kept.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
