@@ -135,7 +135,8 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     verdicts = verdicts.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("first").alias("_first"), F.col("copied").alias("_copied"), F.col("runs").alias("_found"))
     keys = [c.alias(f"_k{i}") for i, c in enumerate(_text_key(F.coalesce(F.col(text_col), F.lit(""))))]
     rows = docs.select("*", *keys)
-    rows = rows.join(verdicts, (F.col("_k0") == F.col("_t1")) & (F.col("_k1") == F.col("_t2")), "left")
+    # A merge join whatever the size, so that the plan does not change as verdicts outgrow a broadcast.
+    rows = rows.join(verdicts.hint("merge"), (F.col("_k0") == F.col("_t1")) & (F.col("_k1") == F.col("_t2")), "left")
     rows = rows.withColumn("_lines", F.split(F.col(text_col), "\n"))
     n = F.coalesce(F.size("_lines"), F.lit(0))
     whole = F.array(F.struct(F.lit(0).alias("lo"), (F.size("_lines") - 1).alias("hi")))
