@@ -18,9 +18,12 @@ begin the next segment, so memory is bounded and only a partition's last window
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,19 +45,34 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as letters from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins across white space.
 
-    Texts are cut at white space, and the ids of a word are kept for its next use, as encoding words anew is
-    nearly all the work. The cache is emptied when it holds ``CACHED_WORDS``.
+    Texts are cut at ASCII white space, and the ids of a word are kept for its next use, as encoding words
+    anew is nearly all the work. A new word gives up a last punctuation mark after a letter or digit, which is always
+    a piece of its own; a word of Latin letters alone is one piece and goes to the model as it is, past
+    the steps that would not change it. Any other word is encoded in full. The cache has two
+    generations: a full one replaces the older, from which words still in use come back.
     """
 
+    _LATIN = re.compile("[a-zà-öø-ÿß]+")
+    _MARKS = frozenset(b",.;:!?")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ending = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         for token, i in vocabulary.items():
@@ -62,17 +80,47 @@ class WordTokenizer:
             if word and word[-1] in _ENDINGS:
                 self.ending[i] = True
 
+    def _piece(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _new(self, word: bytes) -> bytes:
+        if word.isalpha() and word.islower():  # ASCII letters alone
+            return self._piece(word.decode())
+        if word[-1] in self._MARKS and word[:-1].isalnum():
+            return self._kept(word[:-1]) + self._kept(word[-1:])
+        text = word.decode()
+        if len(text) > 1 and word[-1] in self._MARKS and text[-2].isalnum():
+            return self._kept(word[:-1]) + self._kept(word[-1:])
+        lower = text.lower()
+        if self._LATIN.fullmatch(lower) and len(lower) == len(text):
+            return self._piece("".join(map(self.letters.__getitem__, lower.encode())))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _kept(self, word: bytes) -> bytes:
+        ids = self.young.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            self.young[word] = ids = self._new(word) if ids is None else ids
+        return ids
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.encode().split() for t in texts]  # bytes split at ASCII white space alone
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        new = list({w for ws in words for w in ws if w not in cache})
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            for word, encoded in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                cache[word] = np.array(encoded.ids, dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join(map(cache.__getitem__, ws)), dtype="<u4") for ws in words]
+        # Spelled-out special tokens have no upper-case form, so a text that could hold one keeps its case.
+        words = [(b if b"<|" in b else b.lower()).split() for b in (t.encode() for t in texts)]
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        young = self.young
+        out = []
+        for ws in words:
+            for word in set(ws).difference(young):
+                self._kept(word)
+            out.append(np.frombuffer(b"".join(map(young.__getitem__, ws)), dtype="<u4"))
+        return out
+
+
+@lru_cache(1)
+def kept_tokenizer(path: str) -> WordTokenizer:
+    """One for all partitions that a Python worker packs, so that its words are kept between them."""
+    return WordTokenizer(path)
 
 
 def choose_cuts(positions: list[int], penalties: list[int], capacity: int) -> list[int]:
@@ -172,7 +220,7 @@ def _pack(tokenizer_path: str, end_id: int, capacity: int, with_ids: bool, id_ty
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = kept_tokenizer(tokenizer_path)
         packer = _Packer(TaskContext.get().partitionId(), capacity, tokenizer.ending)
         doc_ids: dict[int, object] = {}
         number = 0
