@@ -1 +1 @@
-"""Part of the warpline engine; see the README."""
+"""Joins, folds, aggregations and rankings of the lineage engine; DataFrames in, DataFrames out."""
