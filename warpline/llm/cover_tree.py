@@ -153,7 +153,7 @@ def top_products(vectors: DataFrame, asks: Column, id_col: str = "vec_id", vec_c
     Queries are the rows for which ``asks`` holds; candidates all rows with another id. Ties go to the
     smaller id. Vectors are compared with those of as many components. A vector that is null or
     empty, or holds a null or non-finite component, and a row without an id take no part. Rows that
-    repeat id and vector count once. An empty table gives an empty result; other columns are ignored.
+    repeat id and vector count once. A score beyond 64 bits is an error. An empty table gives an empty result; other columns are ignored.
     """
     scratch = Scratch(vectors.sparkSession, "topk")
     v = F.transform(vec_col, lambda x: x.cast("double"))

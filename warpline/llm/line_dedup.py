@@ -123,7 +123,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A run of lines with ``min_words`` words or more that occurs again, in another text or further
     down the same one, stays where it comes first: at the smallest id, null ids last, and there
-    at the first place. Its later copies are deleted with the blank lines inside them. Lines are
+    at the first place. Its later copies are deleted; a blank line goes with the shortest long-enough run around it. Lines are
     compared without the white space around them. _runs lists the deleted lines as (lo, hi), from 0, both included.
 
     Of rows with equal texts of that many words only those with the smallest id keep them; rows

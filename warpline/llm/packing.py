@@ -35,7 +35,7 @@ from warpline.llm.common import text_batches
 CAPACITY, END_ID, SEGMENT, STEP = 4096, 2, 1 << 19, 32
 #: Penalties, in tokens, for a cut at the end of a sentence and within one; the end of a document costs nothing.
 SENTENCE, WITHIN = 8, 48
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 _ENDINGS = (".", "!", "?", "。", "…")
 
 
