@@ -160,16 +160,16 @@ def input_hash(spark, d):
 
 _RUNS = f"""
 , hits as (
-    select a.amendment_id, a.at, list(distinct {{'article_id': n.article_id, 'shift': n.at - a.at}}) as diagonals
+    select a.amendment_id, a.place_, list(distinct {{'article_id': n.article_id, 'shift': n.place_ - a.place_}}) as diagonals
     from ({windows_sql("amendments", "amendment_id")}) a join novel n using (gram) group by all
-), folded(amendment_id, at, start, cur) as (
-    select amendment_id, at, at, diagonals from hits h where not exists (select 1 from hits p where p.amendment_id = h.amendment_id and p.at = h.at - 1)
+), folded(amendment_id, place_, start, cur) as (
+    select amendment_id, place_, place_, diagonals from hits h where not exists (select 1 from hits p where p.amendment_id = h.amendment_id and p.place_ = h.place_ - 1)
     union all
-    select h.amendment_id, h.at, case when len(list_intersect(f.cur, h.diagonals)) > 0 then f.start else h.at end,
+    select h.amendment_id, h.place_, case when len(list_intersect(f.cur, h.diagonals)) > 0 then f.start else h.place_ end,
         case when len(list_intersect(f.cur, h.diagonals)) > 0 then list_intersect(f.cur, h.diagonals) else h.diagonals end
-    from folded f join hits h on h.amendment_id = f.amendment_id and h.at = f.at + 1
+    from folded f join hits h on h.amendment_id = f.amendment_id and h.place_ = f.place_ + 1
 ), closed as (
-    select amendment_id, start, max(at) + 8 as stop, arg_max(cur, at) as diagonals from folded group by amendment_id, start
+    select amendment_id, start, max(place_) + 8 as stop, arg_max(cur, place_) as diagonals from folded group by amendment_id, start
 ), rare as (
     select c.amendment_id, c.start from (select c.*, unnest(list_distinct(a.w[c.start + 1:c.stop])) as word from closed c join amendments a using (amendment_id)) c
     where word not in (select word from common_words) group by all having count(*) >= 3
@@ -197,9 +197,9 @@ def rarity_df(spark, d):
     return M.word_frequencies(Lineage.of_tables(spark, d).article_words)
 
 
-@query(" select article_id, at, md5(gram) as gram from novel", True)
+@query(" select article_id, place_, md5(gram) as gram from novel", True)
 def novel_windows(spark, d):
-    return M.novel_windows(Lineage.of_tables(spark, d).article_words).withColumn("gram", F.md5("gram"))
+    return M.novel_windows(Lineage.of_tables(spark, d).article_words).select("article_id", F.col("at").alias("place_"), F.md5("gram").alias("gram"))
 
 
 @query(lineage_sql(" select amendment_id, start as run_start, stop as run_end, g.article_id as article_id, start + g.shift as position from runs"), True)
@@ -234,7 +234,7 @@ def amendment_adoptions(spark, d):
     return A.amendment_adoptions(x.runs, x.carried, x.amendment_words)
 
 
-@query(lineage_sql(" select (select count(*) from (select distinct article_id, unnest(range(at, at + 8)) from novel)) as changed_units, (select count(*) from (select distinct article_id, position from places)) as linked_units"), True)
+@query(lineage_sql(" select (select count(*) from (select distinct article_id, unnest(range(place_, place_ + 8)) from novel)) as changed_units, (select count(*) from (select distinct article_id, position from places)) as linked_units"), True)
 def changed_units(spark, d):
     x = Lineage.of_tables(spark, d)
     return A.unit_counts(x.runs, x.article_words)
@@ -300,13 +300,13 @@ def tabling_groups(spark, d):
 
 
 def longest_sql(name: str, left: str, right: str, hits: str, words: str) -> str:
-    """``name``: the longest significant run per pair of ``hits`` (left, right, at, other_at)."""
+    """``name``: the longest significant run per pair of ``hits`` (left, right, place_, other_at)."""
     return f"""
 , {name}_h as ({hits}), {name}_i as (
-    select {left}, {right}, at - other_at as dg, at, min(at) over (partition by {left}, {right}, at - other_at) as met, at - row_number() over (partition by {left}, {right}, at - other_at order by at) as island
-    from (select distinct {left}, {right}, at, other_at from {name}_h)
+    select {left}, {right}, place_ - other_at as dg, place_, min(place_) over (partition by {left}, {right}, place_ - other_at) as met, place_ - row_number() over (partition by {left}, {right}, place_ - other_at order by place_) as island
+    from (select distinct {left}, {right}, place_, other_at from {name}_h)
 ), {name}_r as (
-    select {left}, {right}, dg, min(met) as met, min(at) as first, max(at) + 8 as stop from {name}_i group by {left}, {right}, dg, island
+    select {left}, {right}, dg, min(met) as met, min(place_) as first, max(place_) + 8 as stop from {name}_i group by {left}, {right}, dg, island
 ), {name}_s as (
     select r.{left}, r.{right}, dg, first from (select r.*, unnest(list_distinct(w[first + 1:stop])) as word from {name}_r r join {words} using ({left})) r
     where word not in (select word from common_words) group by all having count(*) >= 3
@@ -315,7 +315,7 @@ def longest_sql(name: str, left: str, right: str, hits: str, words: str) -> str:
 )"""
 
 
-_ORIGIN_HITS = f"""select document_id, phrase_id, c.at, p.at as other_at from ({windows_sql("consultations", "document_id")}) c
+_ORIGIN_HITS = f"""select document_id, phrase_id, c.place_, p.place_ as other_at from ({windows_sql("consultations", "document_id")}) c
 join ({windows_sql("(select phrase_id, string_split(text, ' ') as w from phrases)", "phrase_id")}) p using (gram)"""
 _ORIGINS = longest_sql("said", "document_id", "phrase_id", _ORIGIN_HITS, "consultations") + """
 , dated as (
@@ -344,7 +344,7 @@ def counting_origins(spark, d):
     return O.counts_as_origin(Lineage.of_tables(spark, d).origins).select("document_id", "phrase_id", "words")
 
 
-_TABLED_HITS = f"""select document_id, amendment_id, c.at, a.at as other_at from ({windows_sql("consultations", "document_id")}) c
+_TABLED_HITS = f"""select document_id, amendment_id, c.place_, a.place_ as other_at from ({windows_sql("consultations", "document_id")}) c
 join ({windows_sql("amendments", "amendment_id")}) a using (gram) where gram not in (select gram from proposal_grams)"""
 _TABLED = longest_sql("asked", "document_id", "amendment_id", _TABLED_HITS, "consultations") + f"""
 , asked_text as (select q.*, c.w[first + 1:stop] as w from asked q join consultations c using (document_id))
@@ -374,7 +374,7 @@ def dangling_references(spark, d):
     return O.dangling(x.phrases, x.tabled[0], x.origins, x.carried, x.amendments)
 
 
-@query("""with last as (select conv_id, arg_min(role, turn) as role from conversations group by conv_id) select conv_id, role, 'actor:' || role as actor_id from last where role <> 'system'""")
+@query("""select conv_id, arg_min(role, turn) as role, 'actor:' || arg_min(role, turn) as actor_id from conversations where role <> 'system' group by conv_id""")
 def passage_submitters(spark, d):
     rows = table(spark, d, "conversations")
     passages = rows.select(F.col("conv_id").alias("document_id"), F.concat(F.lit("actor:"), "role").alias("actor_id"), F.col("turn").alias("passage_order"))
@@ -512,11 +512,11 @@ def merge_actors(spark, d):
     return E.merge_actors(rows).withColumn("aliases", F.array_join("aliases", ","))
 
 
-@query("""select p.event_id, c.event_id as last_click from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'click') c on p.user_id = c.user_id and p.ts >= c.ts""")
+@query("""select p.event_id, coalesce(c.event_id, -1) as last_click from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'click') c on p.user_id = c.user_id and p.ts >= c.ts""")
 def group_asof(spark, d):
     e = table(spark, d, "events")
     clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click"))
-    return E.latest_before(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, "user_id", "ts", "click").select("event_id", F.col("last_click"))
+    return E.latest_before(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, "user_id", "ts", "click").select("event_id", F.coalesce("last_click", F.lit(-1)).alias("last_click"))
 
 
 @query("""with s as (select user_id, event_type as grp, ts::date as d0, lead(ts::date) over (partition by user_id order by ts, event_id) as d1 from events where event_type in ('click', 'view')),
@@ -604,7 +604,7 @@ def phrase_order(spark, d):
 @query(lineage_sql(_RANKING + """ select 'documents_lexical' as step, (select count(distinct document_id) from every where eligibility = 'ask_first') as part, (select count(*) from consultations) as whole
 union all select 'documents_semantic_only', 0, (select count(*) from consultations)
 union all select 'amendments_adopting', (select count(distinct amendment_id) from carried), (select count(*) from amendments)
-union all select 'changed_words_linked', (select count(*) from (select distinct article_id, position from places)), (select count(*) from (select distinct article_id, unnest(range(at, at + 8)) from novel))
+union all select 'changed_words_linked', (select count(*) from (select distinct article_id, position from places)), (select count(*) from (select distinct article_id, unnest(range(place_, place_ + 8)) from novel))
 union all select 'organisations_adopted', (select count(*) from ranked where adopted_first > 0), (select count(*) from ranked)"""), True)
 def funnel(spark, d):
     x = Lineage.of_tables(spark, d)

@@ -66,8 +66,8 @@ def words_sql(text: str) -> str:
 
 
 def windows_sql(source: str, keys: str) -> str:
-    """Rows (keys, at, gram) of all windows of the lists ``w`` in a relation."""
-    return f"select {keys}, at, array_to_string(w[at + 1:at + 8], ' ') as gram from (select *, unnest(range(0, greatest(len(w) - 7, 0)))::int as at from {source}) x"
+    """Rows (keys, place_, gram) of all windows of the lists ``w`` in a relation."""
+    return f"select {keys}, place_, array_to_string(w[place_ + 1:place_ + 8], ' ') as gram from (select *, unnest(range(0, greatest(len(w) - 7, 0)))::int as place_ from {source}) x"
 
 
 #: Common table expressions for the world, from ``articles`` to windows; an oracle goes on from there.
