@@ -30,8 +30,9 @@ def crc_fold(id_col: str, folds: int) -> Column:
 
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic) of the rows that labels may be learned from."""
+    # A merge join whatever the size, so that the plan does not change as labels outgrow a broadcast.
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    return docs.where(crc_fold("doc_id", 5) != 0).select("doc_id", "text").join(own, "doc_id")
+    return docs.where(crc_fold("doc_id", 5) != 0).select("doc_id", "text").join(own.hint("merge"), "doc_id")
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
