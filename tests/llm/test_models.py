@@ -122,7 +122,8 @@ def test_packing_round_trip(spark, texts):
     assert packing.pack_documents(docs.limit(0)).collect() == []
 
 
-def test_cuts_cost_least():
+def test_cuts_cost_least(monkeypatch):
+    monkeypatch.setattr(packing, "SHORTEST", 1)
     rng = random.Random(4)
     for _ in range(40):
         positions = [0]

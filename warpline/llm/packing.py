@@ -22,7 +22,7 @@ import re
 import zlib
 from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from warpline.llm.common import text_batches
 
 CAPACITY, END_ID, SEGMENT, STEP = 4096, 2, 1 << 19, 32
+#: Sequences of a power of two are cut on purpose only from this length on, lest there be many tiny ones.
+SHORTEST = 512
 #: Penalties, in tokens, for a cut at the end of a sentence and within one; the end of a document costs nothing.
 SENTENCE, WITHIN = 8, 48
 CACHED_WORDS = 150_000
@@ -51,18 +53,34 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
 
 
+class _Words(dict):
+    """Ids by word; a word that is not there is looked up among the older words, else encoded."""
+
+    def __init__(self, encode: Callable[[bytes], bytes], older: dict[bytes, bytes]):
+        super().__init__()
+        self.encode, self.older = encode, older
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins across white space.
 
     Texts are cut at ASCII white space, and the ids of a word are kept for its next use, as encoding words
-    anew is nearly all the work. A new word gives up a last punctuation mark after a letter or digit, which is always
-    a piece of its own; a word of Latin letters alone is one piece and goes to the model as it is, past
-    the steps that would not change it. Any other word is encoded in full. The cache has two
-    generations: a full one replaces the older, from which words still in use come back.
+    anew is nearly all the work. A new word of ASCII characters and Latin letters is cut into the
+    tokenizer's own pieces (contractions, runs of letters, single digits, runs of other characters), which are kept too and go to the
+    model past the steps that would not change them. Any other word is encoded in full. A full
+    store of words replaces the older one, from which words still in use come back.
     """
 
-    _LATIN = re.compile("[a-zà-öø-ÿß]+")
-    _MARKS = frozenset(b",.;:!?")
+    _LATIN = "a-zà-öø-ÿß"
+    _PLAIN = re.compile(rf"[!-@\[-`{{-~{_LATIN}]+")
+    _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^0-9{_LATIN}]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,8 +89,8 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words = _Words(self._word, {})
         vocabulary = self.tokenizer.get_vocab()
         self.ending = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         for token, i in vocabulary.items():
@@ -80,41 +98,33 @@ class WordTokenizer:
             if word and word[-1] in _ENDINGS:
                 self.ending[i] = True
 
-    def _piece(self, letters: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
-    def _new(self, word: bytes) -> bytes:
-        if word.isalpha() and word.islower():  # ASCII letters alone
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha() and word.islower():  # ASCII letters alone are one piece
             return self._piece(word.decode())
-        if word[-1] in self._MARKS and word[:-1].isalnum():
-            return self._kept(word[:-1]) + self._kept(word[-1:])
         text = word.decode()
-        if len(text) > 1 and word[-1] in self._MARKS and text[-2].isalnum():
-            return self._kept(word[:-1]) + self._kept(word[-1:])
         lower = text.lower()
-        if self._LATIN.fullmatch(lower) and len(lower) == len(text):
-            return self._piece("".join(map(self.letters.__getitem__, lower.encode())))
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _kept(self, word: bytes) -> bytes:
-        ids = self.young.get(word)
-        if ids is None:
-            ids = self.old.get(word)
-            self.young[word] = ids = self._new(word) if ids is None else ids
-        return ids
+        if len(lower) != len(text) or not self._PLAIN.fullmatch(lower) or "<|" in text:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        out = []
+        for piece in self._PIECES.findall(lower):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                self.pieces[piece] = ids = self._piece(piece)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.words) > CACHED_WORDS:
+            self.words = _Words(self._word, dict(self.words))
+        if len(self.pieces) > CACHED_WORDS:
+            self.pieces.clear()
+        kept = self.words.__getitem__
         # Spelled-out special tokens have no upper-case form, so a text that could hold one keeps its case.
-        words = [(b if b"<|" in b else b.lower()).split() for b in (t.encode() for t in texts)]
-        if len(self.young) > CACHED_WORDS:
-            self.old, self.young = self.young, {}
-        young = self.young
-        out = []
-        for ws in words:
-            for word in set(ws).difference(young):
-                self._kept(word)
-            out.append(np.frombuffer(b"".join(map(young.__getitem__, ws)), dtype="<u4"))
-        return out
+        return [np.frombuffer(b"".join(map(kept, (b if b"<|" in b else b.lower()).split())), dtype="<u4") for b in (t.encode() for t in texts)]
 
 
 @lru_cache(1)
@@ -129,27 +139,30 @@ def choose_cuts(positions: list[int], penalties: list[int], capacity: int) -> li
     ``positions`` ascend strictly, from 0, with gaps of at most ``capacity``.
     """
     place = {p: i for i, p in enumerate(positions)}
-    powers = [1 << b for b in range(capacity.bit_length()) if 1 << b <= capacity]
-    cost, back = [0.0] * len(positions), [0] * len(positions)
+    powers = [1 << b for b in range(capacity.bit_length()) if SHORTEST <= 1 << b <= capacity]
+    cost, back, key = [0.0], [0], [0.0]  # key: cost + position
     queue: deque[int] = deque([0])
-    key = [0.0] * len(positions)  # cost + position
-    for j in range(1, len(positions)):
-        at = positions[j]
-        low = at - capacity
-        while positions[queue[0]] < low:
+    first = 0
+    for j, at in enumerate(positions):
+        if not j:
+            continue
+        while positions[first] < at - capacity:
             queue.popleft()
-        i = queue[0]
-        best, prev = key[i] + capacity - at, i
-        if best > 0:
-            for power in powers:
-                i = place.get(at - power, -1)
-                if i >= 0 and cost[i] < best:
-                    best, prev = cost[i], i
-        cost[j], back[j] = best + penalties[j], prev
-        key[j] = cost[j] + at
-        while queue and key[queue[-1]] >= key[j]:
+            first = queue[0]
+        best, prev = key[first] + capacity - at, first
+        for power in powers:
+            i = place.get(at - power)
+            if i is not None and cost[i] < best:
+                best, prev = cost[i], i
+        best += penalties[j]
+        cost.append(best)
+        back.append(prev)
+        best += at
+        key.append(best)
+        while queue and key[queue[-1]] >= best:
             queue.pop()
         queue.append(j)
+        first = queue[0]
     chosen = [len(positions) - 1]
     while chosen[-1]:
         chosen.append(back[chosen[-1]])
