@@ -38,6 +38,11 @@ def query(sql: str | None = None, world: bool = False) -> Callable[[Query], Quer
     return add
 
 
+def _lineage(spark: SparkSession, sf_dir: str) -> Lineage:
+    """A query's own lineage; its shared parts are persisted, and go with the session's cache."""
+    return Lineage.of_tables(spark, sf_dir, keep=True)
+
+
 def day(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd")
 
@@ -194,33 +199,33 @@ def lineage_sql(tail: str) -> str:
 
 @query(" select word, count(*) as provisions, (select count(*) from articles) as total, count(*) >= greatest(2.0, 0.05 * (select count(*) from articles)) as common from (select distinct article_id, unnest(w) as word from articles) group by word", True)
 def rarity_df(spark, d):
-    return M.word_frequencies(Lineage.of_tables(spark, d).article_words)
+    return M.word_frequencies(_lineage(spark, d).article_words)
 
 
 @query(" select article_id, place_, md5(gram) as gram from novel", True)
 def novel_windows(spark, d):
-    return M.novel_windows(Lineage.of_tables(spark, d).article_words).select("article_id", F.col("at").alias("place_"), F.md5("gram").alias("gram"))
+    return M.novel_windows(_lineage(spark, d).article_words).select("article_id", F.col("at").alias("place_"), F.md5("gram").alias("gram"))
 
 
 @query(lineage_sql(" select amendment_id, start as run_start, stop as run_end, g.article_id as article_id, start + g.shift as position from runs"), True)
 def adopted_runs(spark, d):
-    return Lineage.of_tables(spark, d).runs.select("amendment_id", F.col("start").alias("run_start"), F.col("end").alias("run_end"), "article_id", "position")
+    return _lineage(spark, d).runs.select("amendment_id", F.col("start").alias("run_start"), F.col("end").alias("run_end"), "article_id", "position")
 
 
 @query(lineage_sql(" select phrase_id, article_id, first as first_word, stop as end_word, words, text from phrases"), True)
 def adopted_phrases(spark, d):
-    return Lineage.of_tables(spark, d).phrases.select("phrase_id", "article_id", F.col("first").alias("first_word"), F.col("end").alias("end_word"), "words", "text")
+    return _lineage(spark, d).phrases.select("phrase_id", "article_id", F.col("first").alias("first_word"), F.col("end").alias("end_word"), "words", "text")
 
 
 @query()
 def quoted_phrases(spark, d):
-    x = Lineage.of_tables(spark, d)
+    x = _lineage(spark, d)
     return A.quoted_phrases(x.phrases, x.articles).select("phrase_id", "article_id", "span_start", "span_end", "quote")
 
 
 @query(lineage_sql(" select phrase_id, amendment_id from carried"), True)
 def phrase_carriers(spark, d):
-    return Lineage.of_tables(spark, d).carried
+    return _lineage(spark, d).carried
 
 
 @query(lineage_sql("""
@@ -230,19 +235,19 @@ select amendment_id, string_agg(phrase_id, ',' order by phrase_id) as phrase_ids
     any_value((select max(stop - start) from runs r where r.amendment_id = c.amendment_id)) as longest_run
 from carried c group by amendment_id"""), True)
 def amendment_adoptions(spark, d):
-    x = Lineage.of_tables(spark, d)
+    x = _lineage(spark, d)
     return A.amendment_adoptions(x.runs, x.carried, x.amendment_words)
 
 
 @query(lineage_sql(" select (select count(*) from (select distinct article_id, unnest(range(place_, place_ + 8)) from novel)) as changed_units, (select count(*) from (select distinct article_id, position from places)) as linked_units"), True)
 def changed_units(spark, d):
-    x = Lineage.of_tables(spark, d)
+    x = _lineage(spark, d)
     return A.unit_counts(x.runs, x.article_words)
 
 
 @query(" select case when max((stage = 'final_act')::int) = 1 and max((stage = 'proposal')::int) = 1 then 'computed' else 'unknown' end as status, null::varchar as reason from articles", True)
 def adoption_status(spark, d):
-    return A.adoption_status(Lineage.of_tables(spark, d).articles)
+    return A.adoption_status(_lineage(spark, d).articles)
 
 
 _HOLD = """
@@ -262,34 +267,34 @@ _HOLD = """
 
 @query(" select amendment_id, author_id as holder, 'mep' as kind, author_id as name, author_group as tabling_group from amendments", True)
 def holders(spark, d):
-    return Lineage.of_tables(spark, d).tablers.withColumnRenamed("group", "tabling_group")
+    return _lineage(spark, d).tablers.withColumnRenamed("group", "tabling_group")
 
 
 @query(lineage_sql(_HOLD + " select * from credit"), True)
 def credits(spark, d):
-    return Lineage.of_tables(spark, d).credits
+    return _lineage(spark, d).credits
 
 
 @query(lineage_sql(_HOLD + " select *, round(amendments / amendments_tabled, 9) as rate, row_number() over (partition by holder_kind order by amendments / amendments_tabled desc, amendments_tabled desc, phrases desc, holder_id)::int as place from credit"), True)
 def credit_rank(spark, d):
-    return A.ranked_credits(Lineage.of_tables(spark, d).credits).withColumn("rate", F.round("rate", 9))
+    return A.ranked_credits(_lineage(spark, d).credits).withColumn("rate", F.round("rate", 9))
 
 
 @query(lineage_sql(_HOLD + " select count(distinct phrase_id) as phrases_without_group from carried where phrase_id not in (select phrase_id from held where kind = 'group')"), True)
 def phrases_without_group(spark, d):
-    x = Lineage.of_tables(spark, d)
+    x = _lineage(spark, d)
     return A.phrases_without_group(x.carried, x.tablers)
 
 
 @query(lineage_sql(" select phrase_id, count(distinct author_group) as groups from carried join amendments using (amendment_id) group by phrase_id having count(distinct author_group) >= 2"), True)
 def coalition_phrases(spark, d):
-    x = Lineage.of_tables(spark, d)
+    x = _lineage(spark, d)
     return A.coalition_phrases(x.carried, x.tablers)
 
 
 @query(" select amendment_id, author_id, case when substr(amendment_id, 4)::bigint % 3 = 0 then author_group else 'latest' end as grp from amendments", True)
 def tabling_groups(spark, d):
-    x = Lineage.of_tables(spark, d)
+    x = _lineage(spark, d)
     third = F.substring("amendment_id", 4, 20).cast("long") % 3 == 0
     rows = x.authored.withColumn("author_groups", F.when(third, F.col("author_groups")).otherwise(F.expr("cast(array() as array<string>)")))
     latest = x.amendments.select("author_id").distinct().withColumn("group", F.lit("latest"))
@@ -331,17 +336,17 @@ _ORIGINS = longest_sql("said", "document_id", "phrase_id", _ORIGIN_HITS, "consul
 
 @query(lineage_sql(_ORIGINS + " select document_id, phrase_id, first as first_word, stop as end_word, words, amendment_ids, eligibility, is_citation from origins"), True)
 def origin_matches(spark, d):
-    return Lineage.of_tables(spark, d).origins.select("document_id", "phrase_id", F.col("first").alias("first_word"), F.col("end").alias("end_word"), "words", "amendment_ids", "eligibility", "is_citation")
+    return _lineage(spark, d).origins.select("document_id", "phrase_id", F.col("first").alias("first_word"), F.col("end").alias("end_word"), "words", "amendment_ids", "eligibility", "is_citation")
 
 
 @query(lineage_sql(_ORIGINS + " select document_id, phrase_id, strftime(published_on, '%Y-%m-%d') as published_on, strftime(earliest_on, '%Y-%m-%d') as earliest_on, precedes, organisation from origins"), True)
 def origin_timing(spark, d):
-    return Lineage.of_tables(spark, d).origins.select("document_id", "phrase_id", day("published_on").alias("published_on"), day("earliest_on").alias("earliest_on"), "precedes", "organisation")
+    return _lineage(spark, d).origins.select("document_id", "phrase_id", day("published_on").alias("published_on"), day("earliest_on").alias("earliest_on"), "precedes", "organisation")
 
 
 @query(lineage_sql(_ORIGINS + " select document_id, phrase_id, words from origins where eligibility = 'ask_first' and not is_citation"), True)
 def counting_origins(spark, d):
-    return O.counts_as_origin(Lineage.of_tables(spark, d).origins).select("document_id", "phrase_id", "words")
+    return O.counts_as_origin(_lineage(spark, d).origins).select("document_id", "phrase_id", "words")
 
 
 _TABLED_HITS = f"""select document_id, amendment_id, c.place_, a.place_ as other_at from ({windows_sql("consultations", "document_id")}) c
@@ -359,18 +364,18 @@ _TABLED = longest_sql("asked", "document_id", "amendment_id", _TABLED_HITS, "con
 
 @query(lineage_sql(_TABLED + " select phrase_id, any_value(text) as text, any_value(words) as words, string_agg(distinct amendment_id, ',' order by amendment_id) as amendment_ids from tabled_runs group by phrase_id"), True)
 def tabled_phrases(spark, d):
-    return Lineage.of_tables(spark, d).tabled[0]
+    return _lineage(spark, d).tabled[0]
 
 
 @query(lineage_sql(_TABLED + """ select document_id, phrase_id, string_agg(distinct amendment_id, ',' order by amendment_id) as amendment_ids,
     strftime(case when count(*) = count(tabled_on) then min(tabled_on) end, '%Y-%m-%d') as earliest_on from tabled_runs join amendments using (amendment_id) group by document_id, phrase_id"""), True)
 def tabled_origins(spark, d):
-    return Lineage.of_tables(spark, d).tabled[1].select("document_id", "phrase_id", "amendment_ids", day("earliest_on").alias("earliest_on"))
+    return _lineage(spark, d).tabled[1].select("document_id", "phrase_id", "amendment_ids", day("earliest_on").alias("earliest_on"))
 
 
 @query("select 'none' as problem, 'none' as key where false")
 def dangling_references(spark, d):
-    x = Lineage.of_tables(spark, d)
+    x = _lineage(spark, d)
     return O.dangling(x.phrases, x.tabled[0], x.origins, x.carried, x.amendments)
 
 
@@ -548,17 +553,17 @@ _RANKING = _ALL_ORIGINS + """
 
 @query(lineage_sql(_RANKING + " select org_key, name, adopted_first, tabled_only, documents, first_said, row_number() over (order by adopted_first desc, tabled_only desc, name)::int as place from ranked"), True)
 def org_ranking(spark, d):
-    return Lineage.of_tables(spark, d).ranking.select("org_key", "name", "adopted_first", "tabled_only", "documents", day("first_said").alias("first_said"), "place")
+    return _lineage(spark, d).ranking.select("org_key", "name", "adopted_first", "tabled_only", "documents", day("first_said").alias("first_said"), "place")
 
 
 @query(lineage_sql(_ALL_ORIGINS + " select count(distinct document_id) filter (eligibility = 'ask_first' and organisation is null) as unnamed_documents, 0::bigint as citations, count(*) filter (eligibility <> 'ask_first') as not_first from every"), True)
 def origin_totals(spark, d):
-    return I.origin_totals(Lineage.of_tables(spark, d).all_origins)
+    return I.origin_totals(_lineage(spark, d).all_origins)
 
 
 @query(lineage_sql(_ALL_ORIGINS + " select eligibility as timing, count(*) as n from every group by eligibility"), True)
 def match_timing(spark, d):
-    return I.match_timing(Lineage.of_tables(spark, d).all_origins)
+    return I.match_timing(_lineage(spark, d).all_origins)
 
 
 _ADOPTING = " , adopting as (select * from amendments semi join carried using (amendment_id)) "
@@ -567,37 +572,37 @@ _ADOPTING = " , adopting as (select * from amendments semi join carried using (a
 @query(lineage_sql(_ADOPTING + """ select 'stage' as dimension, stage as label, count(*) as n from adopting group by stage union all select 'committee', committee, count(*) from adopting group by committee
 union all select 'year', coalesce(strftime(tabled_on, '%Y'), 'Date unknown'), count(*) from adopting group by all"""), True)
 def channels(spark, d):
-    return I.channel_counts(Lineage.of_tables(spark, d).adoptions)
+    return I.channel_counts(_lineage(spark, d).adoptions)
 
 
 @query(lineage_sql(_ADOPTING + " select count(*) as adopting, count(author_group) as with_group, 0::bigint as cross_group from adopting"), True)
 def channels_groups(spark, d):
-    return I.group_channels(Lineage.of_tables(spark, d).adoptions)
+    return I.group_channels(_lineage(spark, d).adoptions)
 
 
 @query(lineage_sql(_ADOPTING + " select distinct 'group' as facet, author_group as value from adopting where author_group is not null union select 'committee', committee from adopting"), True)
 def phrase_facets(spark, d):
-    x = Lineage.of_tables(spark, d)
+    x = _lineage(spark, d)
     return I.phrase_facets(x.carried, x.adoptions)
 
 
 @query(lineage_sql(_ORIGINS + " select phrase_id from phrases where phrase_id in (select phrase_id from carried join amendments using (amendment_id) where author_group = 'g1') and phrase_id in (select phrase_id from origins) and contains(text, 'th')"), True)
 def phrase_filter(spark, d):
-    x = Lineage.of_tables(spark, d)
+    x = _lineage(spark, d)
     hay = I.phrase_haystacks(x.phrases, x.carried, x.adoptions, x.origins, U.search_fold)
     return I.filter_phrases(hay.withColumn("haystack", F.element_at(F.split("haystack", "\n"), 1)), query="th", group="g1", evidence="any-origin").select("phrase_id")
 
 
 @query(lineage_sql(_ORIGINS + " select phrase_id, words from phrases where phrase_id in (select phrase_id from origins where eligibility = 'ask_first')"), True)
 def link_pool(spark, d):
-    x = Lineage.of_tables(spark, d)
+    x = _lineage(spark, d)
     return I.link_pool(x.phrases, x.origins).select("phrase_id", "words")
 
 
 @query(lineage_sql(_ORIGINS + """ select phrase_id, coalesce(bool_or(eligibility = 'ask_first'), false) as asked_first, count(document_id) > 0 as has_origin, row_number() over (order by coalesce(bool_or(eligibility = 'ask_first'), false) desc, count(document_id) > 0 desc, any_value(p.words) desc, phrase_id)::int as place
 from phrases p left join (select phrase_id, document_id, eligibility from origins) o using (phrase_id) group by phrase_id"""), True)
 def phrase_order(spark, d):
-    x = Lineage.of_tables(spark, d)
+    x = _lineage(spark, d)
     return I.by_evidence(x.phrases, x.origins).select("phrase_id", "asked_first", "has_origin", "place")
 
 
@@ -607,7 +612,7 @@ union all select 'amendments_adopting', (select count(distinct amendment_id) fro
 union all select 'changed_words_linked', (select count(*) from (select distinct article_id, position from places)), (select count(*) from (select distinct article_id, unnest(range(place_, place_ + 8)) from novel))
 union all select 'organisations_adopted', (select count(*) from ranked where adopted_first > 0), (select count(*) from ranked)"""), True)
 def funnel(spark, d):
-    x = Lineage.of_tables(spark, d)
+    x = _lineage(spark, d)
     return I.funnel(x.documents, x.all_origins, x.amendments, x.adoptions, A.unit_counts(x.runs, x.article_words), x.ranking)
 
 
@@ -622,7 +627,7 @@ _GRAPH = _ORIGINS + """
 
 
 def _links(spark, d):
-    x = Lineage.of_tables(spark, d)
+    x = _lineage(spark, d)
     return I.graph(x.origins, x.phrases, x.adoptions)
 
 
@@ -650,20 +655,20 @@ def counts_and_rest(spark, d):
 @query(lineage_sql(_RANKING + _HOLD + _ADOPTING + """ select 'organisation' as question, (select name from ranked order by adopted_first desc, tabled_only desc, name limit 1) as answer union all select 'group', (select name from credit where holder_kind = 'group' order by phrases desc, holder_id limit 1)
 union all select 'stage', (select stage from adopting group by stage order by count(*) desc, stage limit 1) union all select 'committee', (select committee from adopting group by committee order by count(*) desc, committee limit 1)"""), True)
 def five_answers(spark, d):
-    x = Lineage.of_tables(spark, d)
+    x = _lineage(spark, d)
     return I.answers(x.ranking, I.channel_counts(x.adoptions), x.credits)
 
 
 @query()
 def lineage_counts(spark, d):
-    return Lineage.of_tables(spark, d).counts()
+    return _lineage(spark, d).counts()
 
 
 # --- Review -------------------------------------------------------------------------------
 
 
 def _claims(spark, d):
-    x = Lineage.of_tables(spark, d)
+    x = _lineage(spark, d)
     return R.claims(x.phrases, x.carried, x.adoptions, A.coalition_phrases(x.carried, x.tablers))
 
 
@@ -729,7 +734,7 @@ def judge_support(spark, d):
 
 @query()
 def reworded_origins(spark, d):
-    x = Lineage.of_tables(spark, d)
+    x = _lineage(spark, d)
     asks = x.documents.select(F.concat(F.lit("ask:"), "document_id").alias("ask_id"), "document_id", F.xxhash64("document_id").alias("place"), "text", F.lit("").alias("context"))
     changes = table(spark, d, "benchmark").select(F.concat(F.lit("am:"), F.col("item_id").cast("string")).alias("amendment_id"), F.lit(None).cast("string").alias("old_text"), F.col("text").alias("new_text"), F.lit(None).cast("string").alias("target_provision"))
     found, _ = S.candidates(changes, asks)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +18,29 @@ from warpline.plans import world
 
 @dataclass
 class Lineage:
-    """The tables of one law's lineage. Nothing runs until one of them is used; each is a plan of its own."""
+    """The tables of one law's lineage. Nothing runs until one of them is used; each is a plan of its own.
+
+    With ``keep`` the small tables that several others are made of (runs, phrases, carriers, origins) are
+    persisted when first computed; ``close`` lets them go. Persisted rows are recomputed if an executor is lost.
+    """
 
     articles: DataFrame
     amendments: DataFrame
     documents: DataFrame
+    keep: bool = False
 
     @classmethod
-    def of_tables(cls, spark: SparkSession, sf_dir: str) -> Lineage:
+    def of_tables(cls, spark: SparkSession, sf_dir: str, keep: bool = False) -> Lineage:
         """Over the stand-in records of the test tables."""
-        return cls(world.articles(spark, sf_dir), world.amendments(spark, sf_dir), world.consultations(spark, sf_dir))
+        return cls(world.articles(spark, sf_dir), world.amendments(spark, sf_dir), world.consultations(spark, sf_dir), keep)
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.keep else df
+
+    def close(self) -> None:
+        for name in ("runs", "phrases", "carried", "origins", "all_origins", "common"):
+            if self.keep and name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
 
     @cached_property
     def article_words(self) -> DataFrame:
@@ -42,19 +56,19 @@ class Lineage:
 
     @cached_property
     def common(self) -> DataFrame:
-        return common_words(self.article_words)
+        return self._kept(common_words(self.article_words))
 
     @cached_property
     def runs(self) -> DataFrame:
-        return A.adopted_runs(self.amendment_words, self.article_words)
+        return self._kept(A.adopted_runs(self.amendment_words, self.article_words))
 
     @cached_property
     def phrases(self) -> DataFrame:
-        return A.adopted_phrases(self.runs, self.article_words)
+        return self._kept(A.adopted_phrases(self.runs, self.article_words))
 
     @cached_property
     def carried(self) -> DataFrame:
-        return A.carriers(self.runs, self.phrases)
+        return self._kept(A.carriers(self.runs, self.phrases))
 
     @cached_property
     def adoptions(self) -> DataFrame:
@@ -85,7 +99,7 @@ class Lineage:
     def origins(self) -> DataFrame:
         """Word-for-word origins; ``kind`` and ``actor_id`` are there for the summaries."""
         found = O.adopted_origins(self.phrases, self.carried, self.document_words, self.documents, self.amendments, self.common)
-        return found.withColumns({"kind": F.lit("verbatim"), "actor_id": F.lit(None).cast("string")})
+        return self._kept(found.withColumns({"kind": F.lit("verbatim"), "actor_id": F.lit(None).cast("string")}))
 
     @cached_property
     def tabled(self) -> tuple[DataFrame, DataFrame]:
@@ -95,7 +109,7 @@ class Lineage:
     @cached_property
     def all_origins(self) -> DataFrame:
         more = self.tabled[1].withColumns({"kind": F.lit("verbatim"), "actor_id": F.lit(None).cast("string")})
-        return self.origins.unionByName(more.select(*self.origins.columns))
+        return self._kept(self.origins.unionByName(more.select(*self.origins.columns)))
 
     @cached_property
     def ranking(self) -> DataFrame:
