@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from warpline.llm.common import Scratch, connected_components, text_batches
 
 LENGTH, RADIUS, THRESHOLD = 23, 3, 2
+#: Fingerprints that one task replicates; their table is slim, so its files alone would make few tasks.
+TASK_PRINTS = 20_000
 #: Generator of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 
@@ -140,8 +142,9 @@ def hex_print(column: Column | str) -> Column:
 
 def print_links(prints: DataFrame) -> DataFrame:
     """(a, b), a < b, for all pairs of different values of column ``print`` (distinct) within the threshold."""
-    homes = prints.select("print").mapInArrow(_spread(False), "anchor bigint, print bigint")
-    replicas = prints.select("print").mapInArrow(_spread(True), "anchor bigint, print bigint")
+    prints = prints.select("print").repartition(max(1, prints.count() // TASK_PRINTS), "print")
+    homes = prints.mapInArrow(_spread(False), "anchor bigint, print bigint")
+    replicas = prints.mapInArrow(_spread(True), "anchor bigint, print bigint")
     h, r = homes.alias("h"), replicas.alias("r")
     near = (F.col("h.print") < F.col("r.print")) & (F.bit_count(F.col("h.print").bitwiseXOR(F.col("r.print"))) <= THRESHOLD)
     return h.join(r, (F.col("h.anchor") == F.col("r.anchor")) & near).select(F.col("h.print").alias("a"), F.col("r.print").alias("b"))
