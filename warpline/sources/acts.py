@@ -150,14 +150,14 @@ def provisions(sections: DataFrame, key: str) -> DataFrame:
 
     split = F.aggregate("parts", F.struct(F.lit(1).alias("due"), empty.alias("out")), step, lambda acc: acc["out"])
     whole = F.array(F.struct(F.lit(None).cast("int").alias("number"), F.col("parts")).cast(group))
-    rows = per.select(key, "kind", "label", "n", F.posexplode(F.when(F.col("kind") == "article", split).otherwise(whole)).alias("k", "g"))
+    rows = per.select(key, "kind", "label", "n", F.posexplode(F.when(F.col("kind") == "article", split).otherwise(whole)).alias("_k", "g"))
     text = joined(F.col("g.parts"))
     text = F.when(F.col("g.number").isNotNull(), F.regexp_replace(text, PARAGRAPH, "")).when(F.col("kind") == "recital", F.regexp_replace(text, RECITAL, "")).otherwise(text)
     name = F.when(F.col("g.number").isNotNull(), F.concat("label", F.lit("("), F.col("g.number").cast("string"), F.lit(")"))).otherwise(F.col("label"))
     kind = F.when(F.col("g.number").isNotNull(), "paragraph").otherwise(F.col("kind"))
     slug = F.lower(T.id_part(F.col("provision")))
-    again = F.row_number().over(Window.partitionBy(key, "slug").orderBy("n", "k"))
-    rows = rows.select(key, kind.alias("kind"), name.alias("provision"), text.alias("text"), "n", "k").withColumn("slug", slug).withColumn("again", again)
+    again = F.row_number().over(Window.partitionBy(key, "slug").orderBy("n", "_k"))
+    rows = rows.select(key, kind.alias("kind"), name.alias("provision"), text.alias("text"), "n", "_k").withColumn("slug", slug).withColumn("again", again)
     suffix = F.when(F.col("again") > 1, F.concat(F.lit("-"), F.col("again").cast("string"))).otherwise("")
     return rows.select(key, F.concat(F.lit("art:"), T.id_part(F.col(key).cast("string")), F.lit(":"), "slug", suffix).alias("article_id"), "kind", "provision", "text")
 
