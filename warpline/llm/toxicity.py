@@ -9,8 +9,8 @@ its strongest words, as a few expressions can make a long text toxic.
 The counts are taken over all labelled training rows with aggregations that combine before the
 shuffle. What is kept of them for scoring is a table of at most ``MOST_GRAMS`` n-grams, the most
 frequent ones down to a count found from the histogram of counts, in sorted arrays. The four
-numbers per text are calibrated by a logistic regression on at most ``CALIBRATION_ROWS`` training rows that
-the models did not count.
+numbers per text are calibrated by a logistic regression on ``CALIBRATION_ROWS`` training rows (a share of
+the rows by a hash of their ids, two hundredths below that bound) that the models did not count.
 """
 
 from __future__ import annotations
@@ -216,7 +216,8 @@ def fit_model(labelled: DataFrame, fold: Column, most_grams: int = MOST_GRAMS, c
     if not len(table) or not table["n1"].sum() or not table["n0"].sum():
         return None
     model = Model(*fit_ratios(table), np.zeros(1 + STRONGEST), 0.0)
-    some = rows.where("fold").orderBy(F.xxhash64("doc_id")).limit(calibration_rows).select("text", "toxic")
+    share = calibration_rows / max(rows.where("fold").count(), 1)
+    some = rows.where("fold").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < min(1.0, 0.98 * share) * (1 << 20)).select("text", "toxic")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
