@@ -106,8 +106,11 @@ def test_html():
 
 
 def test_ligatures():
-    assert U.repaired("ﬁnal of�ce and office") == ("final office and office", 1, 1)
-    assert U.repaired("x�y") == ("x y", 0, 0)
+    assert U.repaired("ﬁnal eﬀort") == ("final effort", 0, 0)
+    assert U.repaired("signi\x00cant") == ("significant", 1, 0)
+    assert U.repaired("zuffix zu\x00x") == ("zuffix zuffix", 1, 0)
+    assert U.repaired("x\x00y \x00 a\x00b\x00c\x00d\x00e") == ("x y   a b c d e", 0, 6)
+    assert U.repaired("o\x00cial") == ("official", 1, 0)
 
 
 def test_direction(spark):

@@ -19,7 +19,8 @@ from warpline.operators import review as R
 from warpline.operators import search as S
 from warpline.plans.lineage import Lineage
 from warpline.plans.world import TOKEN_SQL, WORLD_SQL, table, windows_sql, words_sql
-from warpline.sources import acts, dump, feedback, register
+from warpline.plans import store
+from warpline.sources import acts, documents, dump, feedback, register
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -797,8 +798,8 @@ def name_keys(spark, d):
 
 @query()
 def repaired_ligatures(spark, d):
-    text = F.replace(F.replace("text", F.lit("fi"), F.lit("ﬁ")), F.lit("fl"), F.lit("ﬂ"))
-    return table(spark, d, "documents").select("doc_id", U.repair_ligatures(text).alias("r")).select("doc_id", "r.expanded", "r.guessed", F.md5("r.text").alias("text_md5"))
+    text = F.replace(F.replace("text", F.lit("fi"), F.lit("ﬁ")), F.lit("fl"), F.lit("\0"))
+    return table(spark, d, "documents").select("doc_id", U.repair_ligatures(text).alias("r")).select("doc_id", "r.guessed", "r.unresolved", F.md5("r.text").alias("text_md5"))
 
 
 # --- Sources ------------------------------------------------------------------------------
@@ -942,3 +943,90 @@ def act_streams(spark, d):
     k = F.col("o_orderkey")
     listing = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("celex"), F.concat(F.lit("h"), k.cast("string")).alias("href"), F.when(k % 3 == 0, "2_EN_Annexe.html").otherwise("1_EN_act.html").alias("name"), k.alias("place"))
     return acts.act_streams(listing)
+
+
+# --- Supporting operators -----------------------------------------------------------------
+
+
+@query("""select doc_id, case when length(text) > 5000 then 'text_too_large' when trim(text) = '' then 'empty_document' end as code, case when length(text) <= 5000 and trim(text) <> '' then length(text) else -1 end as characters from documents""")
+def extracted_text(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
+    return documents.extract_text(rows, "content", most_characters=5000).select("doc_id", "code", F.coalesce("characters", F.lit(-1)).alias("characters"))
+
+
+@query("""select c_custkey, case c_custkey % 3 when 0 then 'stricter' when 1 then 'weaker' else 'unknown' end as direction, c_custkey % 3 = 2 as statement from customer""")
+def ask_directions(spark, d):
+    k = F.col("c_custkey") % 3
+    text = F.when(k == 0, F.lit("Replace 'may be' with 'shall be' here")).when(k == 1, F.lit("please delete \"must\" now")).otherwise(F.concat(F.lit("We must not be required to "), F.col("c_name")))
+    rows = table(spark, d, "customer").select("c_custkey", text.alias("text"))
+    return S.with_direction(rows).select("c_custkey", "direction", (F.get("changes", F.lit(0))["kind"] == "statement").alias("statement"))
+
+
+@query()
+def asks(spark, d):
+    found = S.asks(S.passage_rows(table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("document_id"), "text")))
+    return found.select("ask_id", "document_id", "direction", "limit_reason")
+
+
+@query("""with c as (select o_orderkey, '2020/' || lpad((o_orderkey % 10000)::varchar, 4, '0') || '(COD)' as p from orders where o_orderkey < 10000 and o_orderkey % 7 <> 0)
+select o_orderkey as query_id, 'chosen' as status, p as found from c where o_orderkey % 3 = 0 union all select o_orderkey, 'chosen', p from c where o_orderkey % 3 = 1""")
+def resolve_law(spark, d):
+    lines = dump.dump_lines(spark, _dossiers(spark, d).where("o_orderkey < 10000").select("value"))
+    entries, _ = dump.catalog(dump.read_dump(lines, dump.DOSSIER))
+    k = F.col("o_orderkey")
+    typed = F.when(k % 3 == 0, F.concat(F.lit("2020/"), k.cast("string"), F.lit(" cod"))).otherwise(F.concat(F.lit("com(2020) "), k.cast("string")))
+    asked = table(spark, d, "orders").where("o_orderkey < 10000 and o_orderkey % 7 <> 0 and o_orderkey % 3 <> 2").select(k.alias("query_id"), typed.alias("query"))
+    return S.resolve_law(asked, entries, spark.createDataFrame([], "key string, title_id string"), U.caseless_key).select("query_id", "status", "found")
+
+
+@query("""select o_orderpriority as code, count(*) || ' ' || o_orderpriority as line from orders group by o_orderpriority""")
+def problem_counts(spark, d):
+    return I.problem_counts(table(spark, d, "orders").select(F.col("o_orderpriority").alias("code")))
+
+
+@query("""select s_suppkey, s_name || ' (g' || s_nationkey || ')' as label from supplier where s_suppkey % 2 = 0 union all select s_suppkey, 'm' || s_suppkey from supplier where s_suppkey % 2 = 1""")
+def author_labels(spark, d):
+    k = F.col("s_suppkey")
+    none = F.expr("cast(array() as array<string>)")
+    names, groups = F.when(k % 2 == 0, F.array("s_name")).otherwise(none), F.when(k % 2 == 0, F.array(F.concat(F.lit("g"), "s_nationkey"))).otherwise(none)
+    return table(spark, d, "supplier").select("s_suppkey", F.array_join(T.author_labels(names, F.array(F.concat(F.lit("m"), k.cast("string"))), groups), "; ").alias("label"))
+
+
+@query("""select distinct 'c' || l_partkey % 50 as celex, '2020/' || lpad((l_suppkey % 9999)::varchar, 4, '0') || '(COD)' as procedure_id from lineitem where l_linenumber <> 2 and l_partkey % 50 < 10""")
+def procedures_for_celex(spark, d):
+    rows = table(spark, d, "lineitem").select(F.concat(F.lit("c"), (F.col("l_partkey") % 50).cast("string")).alias("celex"), F.when(F.col("l_linenumber") != 2, F.concat(F.lit("2020/"), F.lpad((F.col("l_suppkey") % 9999).cast("string"), 4, "0"), F.lit("(COD)"))).otherwise("bad").alias("procedure_id"))
+    return acts.procedures_for_celex(rows, spark.range(10).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("celex")))
+
+
+@query(lineage_sql(_ORIGINS + """ select phrase_id, (select count(*) from carried c where c.phrase_id = p.phrase_id) as amendments, (select count(*) from origins o where o.phrase_id = p.phrase_id) as origins,
+coalesce((select bool_or(eligibility = 'ask_first') from origins o where o.phrase_id = p.phrase_id), false) as asked_first from phrases p"""), True)
+def prepared_phrases(spark, d):
+    x = _lineage(spark, d)
+    rows = I.prepared(x.phrases, x.carried, x.adoptions, x.origins)
+    return rows.select("phrase_id", F.size("amendments").cast("long").alias("amendments"), F.size("origins").cast("long").alias("origins"), "asked_first")
+
+
+@query("""select distinct source as organisation from documents where contains(lower(source), 'rc1')""")
+def organisation_search(spark, d):
+    return I.search_organisations(table(spark, d, "documents").select(F.col("source").alias("organisation")).distinct(), "RC1", 100)
+
+
+@query(" select false as uses_latest", True)
+def group_limitations(spark, d):
+    return A.uses_latest_groups(_lineage(spark, d).authored)
+
+
+@query("""select stage, count(*) as n from (select 'texts' as stage from documents where doc_id % 3 = 0 union all select 'asks' from documents where doc_id % 3 = 1 union all select 'amendments' from documents where doc_id % 3 = 2) group by stage""")
+def stage_union(spark, d):
+    t = table(spark, d, "documents")
+    parts = {"texts": t.where("doc_id % 3 = 0"), "amendments": t.where("doc_id % 3 = 2"), "asks": t.where("doc_id % 3 = 1")}
+    return store.union_stages(parts).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select page, publication, feedback_id from (select c_custkey // 100 as page, c_nationkey as publication, c_custkey as feedback_id from customer) where page <= 7""")
+def feedback_pages(spark, d):
+    c = table(spark, d, "customer")
+    page = (F.col("c_custkey") / 100).cast("long")
+    rows = c.select(page.alias("page"), F.col("c_nationkey").alias("publication"), F.col("c_custkey").alias("feedback_id"))
+    last = rows.select("publication").distinct().withColumn("last_page", F.lit(7).cast("long"))
+    return feedback.read_pages(rows, last)

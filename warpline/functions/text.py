@@ -136,20 +136,24 @@ def celex_com(celex: Column) -> Column:
 
 def query_kind(text: Column) -> Column:
     """struct<kind, value>: a procedure, CELEX or COM reference by its shape, normalised; anything else is a title. Null if blank."""
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
     procedure = r"^(\d{4})\s*/\s*(\d{1,4})([A-Z]?)\s*\(?\s*([A-Za-z]{3})\s*\)?$"
     celex = r"(?i)^(?:CELEX[:\s]*)?(\d{5}[A-Za-z]{1,2}\d{4})$"
     com = r"(?i)^COM\s*[(/]?\s*(\d{4})\s*[)/]?\s*/?\s*0*(\d{1,4})(?:\s*final)?$"
-    part = lambda p, g: F.regexp_extract(t, p, g)
-    whole = F.concat(part(procedure, 1), F.lit("/"), F.lpad(part(procedure, 2), 4, "0"), part(procedure, 3), F.lit("("), F.upper(part(procedure, 4)), F.lit(")"))
-    kind = lambda name, value: F.struct(F.lit(name).alias("kind"), value.alias("value"))
-    return (
-        F.when(t == "", F.lit(None))
-        .when(t.rlike(procedure), kind("procedure", whole))
-        .when(t.rlike(celex), kind("celex", F.upper(part(celex, 1))))
-        .when(t.rlike(com), kind("com", F.concat(F.lit("COM("), part(com, 1), F.lit(")"), part(com, 2).try_cast("int").cast("string"))))
-        .otherwise(kind("title", t))
-    )
+
+    def read(t: Column) -> Column:
+        part = lambda p, g: F.regexp_extract(t, p, g)
+        whole = F.concat(part(procedure, 1), F.lit("/"), F.lpad(part(procedure, 2), 4, "0"), part(procedure, 3), F.lit("("), F.upper(part(procedure, 4)), F.lit(")"))
+        kind = lambda name, value: F.struct(F.lit(name).alias("kind"), value.alias("value"))
+        return (
+            F.when(t == "", F.lit(None))
+            .when(t.rlike(procedure), kind("procedure", whole))
+            .when(t.rlike(celex), kind("celex", F.upper(part(celex, 1))))
+            .when(t.rlike(com), kind("com", F.concat(F.lit("COM("), part(com, 1), F.lit(")"), part(com, 2).try_cast("int").cast("string"))))
+            .otherwise(kind("title", t))
+        )
+
+    # The cleaned text is bound to a name, as it is used many times.
+    return F.get(F.transform(F.array(F.trim(F.regexp_replace(text, r"\s+", " "))), read), F.lit(0))
 
 
 # --- Citations ----------------------------------------------------------------------------

@@ -198,3 +198,9 @@ def recorded_groups(amendments: DataFrame, latest: DataFrame) -> DataFrame:
     recorded = recorded.select("amendment_id", F.col("x.i").alias("author_id"), F.col("x.g").alias("group"))
     other = amendments.where(F.coalesce(F.size("author_groups"), F.lit(0)) <= 0).select("amendment_id", F.explode("author_ids").alias("author_id"))
     return recorded.unionByName(other.join(latest.select("author_id", "group"), "author_id", "left").select("amendment_id", "author_id", "group"))
+
+
+def uses_latest_groups(amendments: DataFrame) -> DataFrame:
+    """One row: whether an authored amendment records no groups, so that the latest ones stand in."""
+    bare = (F.size("author_ids") > 0) & (F.coalesce(F.size("author_groups"), F.lit(0)) <= 0)
+    return amendments.agg(F.coalesce(F.max(bare), F.lit(False)).alias("uses_latest"))

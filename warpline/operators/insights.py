@@ -231,3 +231,31 @@ def coverage_line(status: Column, count: Column, reason: Column) -> Column:
     shown = F.when(count.isNotNull(), F.concat(F.lit(" ("), count.cast("string"), F.lit(")"))).otherwise("")
     why = F.when(reason.isNotNull(), F.concat(F.lit(": "), reason)).otherwise("")
     return F.concat(F.regexp_replace(status, "_", " "), shown, why)
+
+
+def prepared(phrases: DataFrame, carried: DataFrame, adoptions: DataFrame, origins: DataFrame) -> DataFrame:
+    """Phrases with their amendments and origins nested, an origin once per document, kind and place, best evidence first."""
+    amendment = F.struct("amendment_id", "stage", "committee", "tabled_on", T.author_labels(F.col("author_names"), F.col("author_ids"), F.col("author_groups")).alias("authors"))
+    by = carried.join(adoptions, "amendment_id").groupBy("phrase_id").agg(F.array_sort(F.collect_set(amendment)).alias("amendments"))
+    once = origins.dropDuplicates(["phrase_id", "document_id", "kind", "first", "end"])
+    said = once.groupBy("phrase_id").agg(F.array_sort(F.collect_list(F.struct("document_id", "organisation", "published_on", "first", "end", "kind", "eligibility", "is_citation"))).alias("origins"), F.max(_first()).alias("asked_first"))
+    rows = phrases.join(by, "phrase_id", "left").join(said, "phrase_id", "left").fillna({"asked_first": False})
+    kinds = dict(rows.dtypes)
+    return rows.withColumns({c: F.coalesce(c, F.expr(f"cast(array() as {kinds[c]})")) for c in ("amendments", "origins")})
+
+
+def search_organisations(ranking: DataFrame, typed: str, limit: int = 10) -> DataFrame:
+    """Names that hold what was typed, whatever its case."""
+    name = "organisation" if "organisation" in ranking.columns else "name"
+    return ranking.where(F.lower(name).contains(typed.strip().lower())).orderBy(name).limit(limit)
+
+
+def problem_counts(problems: DataFrame) -> DataFrame:
+    """(code, line): how often each kind of gap occurred, in words."""
+    counts = problems.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("code", F.concat_ws(" ", F.col("n").cast("string"), "code").alias("line"))
+
+
+def top_members(credit_rows: DataFrame, limit: int = 10) -> DataFrame:
+    """The members a run's summary names."""
+    return credit_rows.where("holder_kind = 'mep'").orderBy(F.desc("phrases"), F.desc("amendments"), "holder_id").limit(limit)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warpline.functions import text as T
-from warpline.functions.udfs import changed_spans, passage_spans
+from warpline.functions.udfs import changed_spans, passage_spans, read_changes
 
 K1, B, TOP = 1.2, 0.75, 5
 MOST_CHARACTERS, MOST_TOKENS = 12_000, 800
@@ -121,3 +121,59 @@ def by_alias(queries: DataFrame, aliases: DataFrame, titles: DataFrame) -> DataF
     per = every.join(known, "title_id", "left").groupBy("query_id").agg(F.array_sort(F.collect_set("title_id")).alias("ids"), F.max(F.coalesce("known", F.lit(False))).alias("known"))
     status = F.when(F.size("ids") > 1, "ambiguous").when(F.col("known"), "chosen").otherwise("missing")
     return per.select("query_id", status.alias("status"), F.array_join("ids", ",").alias("title_ids"))
+
+
+# --- Asks ---------------------------------------------------------------------------------
+
+
+def with_direction(rows: DataFrame) -> DataFrame:
+    """Adds ``changes`` (what a text asks for) and ``direction``, read from quoted instructions alone.
+
+    Prose states no change, so its direction is unknown, and so is that of a text with an instruction
+    beyond the diff's bounds.
+    """
+    rows = rows.withColumn("changes", read_changes("text")).withColumn("_row", F.monotonically_increasing_id())
+    told = rows.select("_row", F.explode("changes").alias("c")).where("c.kind <> 'statement'").select("_row", F.col("c.old").alias("old"), F.col("c.new").alias("new"), valid_change(F.col("c.old"), F.col("c.new")).alias("valid"))
+    spans = changed_spans(F.when(F.col("valid"), F.col("old")), F.col("new"))
+    words = F.flatten(F.transform(spans, lambda s: F.transform(F.split(s["text"], r"\s+"), lambda w: F.struct(s["operation"].alias("operation"), w.alias("word")))))
+    told = told.withColumn("words", F.coalesce(words, F.expr("cast(array() as array<struct<operation:string,word:string>>)")))
+    per = told.groupBy("_row").agg(F.flatten(F.collect_list("words")).alias("words"), F.min("valid").alias("valid"))
+    joined = rows.join(per, "_row", "left")
+    return joined.withColumn("direction", F.when(F.coalesce("valid", F.lit(False)), T.direction(F.col("words"))).otherwise("unknown")).drop("_row", "words", "valid")
+
+
+def limit_reason(changes: Column) -> Column:
+    """Why an ask is not searched: nothing to read, or a reading beyond the diff's bounds; null if it is."""
+    good = F.forall(changes, lambda c: valid_change(c["old"], c["new"]))
+    return F.when(F.size(changes) == 0, "no statement and no quoted instruction").when(~good, "beyond the bounds of the diff")
+
+
+def asks(passages: DataFrame) -> DataFrame:
+    """(ask_id, passage_id, document_id, start, end, text, direction, limit_reason): one ask per passage, quoted whole."""
+    rows = with_direction(passages)
+    name = F.concat(F.lit("ask:"), T.id_part(F.col("passage_id")))
+    return rows.select(name.alias("ask_id"), "passage_id", "document_id", "start", "end", "text", "direction", limit_reason(F.col("changes")).alias("limit_reason"))
+
+
+def resolve_law(queries: DataFrame, entries: DataFrame, aliases: DataFrame, key) -> DataFrame:
+    """(query_id, kind, status, found): what was typed, as one procedure, several to choose from, or none.
+
+    Procedure, CELEX and COM references are equi-joins on the catalog; other text is a common name of
+    ``aliases`` (key, title_id), else a title. ``key`` makes a caseless name of a column.
+    """
+    q = queries.select("query_id", T.query_kind(F.col("query")).alias("q")).select("query_id", "q.kind", "q.value")
+    own = entries.select(F.lit("procedure").alias("kind"), F.col("procedure_id").alias("value"), "procedure_id")
+    celex = entries.where("celex_final is not null").select(F.lit("celex").alias("kind"), F.col("celex_final").alias("value"), "procedure_id")
+    com = entries.select(F.lit("com").alias("kind"), F.explode("com_references").alias("value"), "procedure_id")
+    known = own.unionByName(celex).unionByName(com).distinct()
+    exact = q.join(known, ["kind", "value"]).groupBy("query_id").agg(F.array_sort(F.collect_set("procedure_id")).alias("ids"))
+    typed = q.where("kind = 'title'").select("query_id", key(F.col("value")).alias("key"), F.col("value").alias("query"))
+    titles = entries.select(F.col("procedure_id").alias("title_id"), "title", key(F.col("title")).alias("key"))
+    named = by_alias(typed, aliases, titles).select("query_id", "status", F.col("title_ids").alias("found"))
+    scored = title_scores(titles, typed.join(named, "query_id", "left_anti").select("query_id", "query"))
+    best = scored.groupBy("query_id").agg(F.max("ambiguous").alias("several"), F.array_sort(F.collect_list(F.struct("rank", "title_id"))).alias("r"))
+    ids = F.transform("r", lambda x: x["title_id"])
+    titled = best.select("query_id", F.when(F.col("several"), "ambiguous").otherwise("chosen").alias("status"), F.when(F.col("several"), F.array_join(ids, ",")).otherwise(F.get(ids, F.lit(0))).alias("found"))
+    exact = exact.select("query_id", F.when(F.size("ids") > 1, "ambiguous").otherwise("chosen").alias("status"), F.array_join("ids", ",").alias("found"))
+    every = exact.unionByName(named).unionByName(titled)
+    return q.join(every, "query_id", "left").select("query_id", "kind", F.coalesce("status", F.lit("unknown")).alias("status"), "found")

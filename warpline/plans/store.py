@@ -103,3 +103,44 @@ def write_view(tables: dict[str, DataFrame], path: str) -> None:
         part = df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
         whole = part if whole is None else whole.crossJoin(part)
     whole.select(F.to_json(F.struct(*tables)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def union_stages(parts: dict[str, DataFrame]) -> DataFrame:
+    """All rows of several stages' tables with the stage they come from; the same columns are asked for."""
+    whole = None
+    for stage, df in parts.items():
+        own = df.withColumn("stage", F.lit(stage))
+        whole = own if whole is None else whole.unionByName(own)
+    return whole
+
+
+def load_collected(store: StageStore, keys: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables of a collected law: documents of three stages, texts of two, and one law exactly."""
+    stages = {}
+    for name in ("texts", "amendments", "asks", "law"):
+        tables = store.load(name, keys[name]) if name in keys else None
+        if tables is None:
+            raise ValueError(f"stage {name} is not complete")
+        stages[name] = tables
+    if stages["law"]["laws"].limit(2).count() != 1:
+        raise ValueError("a collected run holds one law")
+    documents = union_stages({s: stages[s]["documents"] for s in ("texts", "amendments", "asks")})
+    texts = union_stages({s: stages[s]["document_texts"] for s in ("texts", "asks")})
+    return {
+        "law": stages["law"]["laws"], "actors": stages["law"]["actors"], "documents": documents, "document_texts": texts,
+        "passages": stages["asks"]["passages"], "amendments": stages["amendments"]["amendments"], "articles": stages["texts"]["articles"],
+    }
+
+
+def tree_revision(spark: SparkSession, path: str) -> str:
+    """One hash for a tree of files: of their names and contents in the order of names."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    each = files.select(F.struct("path", F.sha2("content", 256).alias("h")).alias("x"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat_ws("\0", x["path"], x["h"])), "\n")
+    return each.agg(F.sha2(joined, 256).alias("h")).first()["h"]
+
+
+def view_version(spark: SparkSession, path: str) -> DataFrame:
+    """One row (files, bytes, changed): what tells whether a stored table is still the one that was read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("length", "modificationTime")
+    return files.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("changed"))

@@ -89,17 +89,19 @@ def skip_reason(records: DataFrame) -> Column:
 def catalog(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, skipped): one entry per dossier that is a procedure; the others counted by reason."""
     marked = records.withColumn("reason", skip_reason(records))
-    events = F.transform(F.coalesce("events", F.expr("array()")), lambda e: F.struct(day(e["date"]).alias("day"), e["type"].alias("type")))
-    of = lambda *types: F.transform(F.filter(events, lambda e: e["type"].isin(*types) & e["day"].isNotNull()), lambda e: e["day"])
+    none = F.expr("cast(array() as array<date>)")
     titles = F.flatten(F.transform("events", lambda e: F.coalesce(F.transform(e["docs"], lambda d: d["title"]), F.expr("cast(array() as array<string>)"))))
-    coms = F.array_distinct(F.filter(F.transform(titles, lambda t: F.when(F.trim(t).rlike(rf"^{T.COM}$"), T.com_reference(t))), lambda c: c.isNotNull()))
-    published, ended = of(FINAL_EVENT), of(END_EVENT)
-    done = F.when(F.size(published) > 0, published).otherwise(ended)
-    state = status(text_or_null(F.col("procedure.stage_reached")))
-    days = F.concat(F.transform(events, lambda e: e["day"]), F.coalesce(F.transform("docs", lambda d: day(d["date"])), F.expr("cast(array() as array<date>)")))
+    steps = F.transform(F.coalesce("events", F.expr("array()")), lambda e: F.struct(day(e["date"]).alias("day"), e["type"].alias("type")))
+    # What is used more than once is a column first, so that it is computed once.
+    good = marked.where("reason is null").withColumns({"_steps": steps, "_lead": lead(F.col("committees")), "_titles": titles, "_state": status(text_or_null(F.col("procedure.stage_reached")))})
+    of = lambda *types: F.transform(F.filter("_steps", lambda e: e["type"].isin(*types) & e["day"].isNotNull()), lambda e: e["day"])
+    good = good.withColumns({"_published": of(FINAL_EVENT), "_ended": of(END_EVENT), "_coms": F.filter("_titles", lambda t: F.trim(t).rlike(rf"^{T.COM}$"))})
+    coms = F.array_distinct(F.transform("_coms", lambda t: T.com_reference(t)))
+    done, state = F.when(F.size("_published") > 0, F.col("_published")).otherwise(F.col("_ended")), F.col("_state")
+    days = F.concat(F.transform("_steps", lambda e: e["day"]), F.coalesce(F.transform("docs", lambda d: day(d["date"])), none))
     celex = F.regexp_extract(F.col("procedure.final.url"), r"(?i)CELEX[:%3A]*(\d{5}[A-Z]{1,2}\d{4})", 1)
-    head = lead(F.col("committees"))
-    entries = marked.where("reason is null").select(
+    head = F.col("_lead")
+    entries = good.select(
         F.col("procedure.reference").alias("procedure_id"), F.coalesce(text_or_null(F.col("procedure.title")), F.lit("")).alias("title"), state.alias("status"),
         text_or_null(F.col("procedure.stage_reached")).alias("stage_reached"), subjects(F.col("procedure.subject")).alias("subjects"), F.when(celex != "", celex).alias("celex_final"),
         F.coalesce(coms, F.expr("cast(array() as array<string>)")).alias("com_references"), head["committee"].alias("lead_committee"), head["rapporteurs"].alias("rapporteurs"),

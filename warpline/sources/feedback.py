@@ -94,3 +94,8 @@ def feedback_documents(rows: DataFrame) -> DataFrame:
     direct = rows.select(T.document_id("hys_feedback", F.col("feedback_id").cast("string")).alias("document_id"), F.lit("hys_feedback").alias("source_kind"), F.col("organisation").alias("title"), F.col("submitted_at").alias("published_at"), "text")
     files = rows.select(F.explode("attachments").alias("a"), "submitted_at").select(T.document_id("hys_attachment", F.col("a.documentId")).alias("document_id"), F.lit("hys_attachment").alias("source_kind"), F.col("a.fileName").alias("title"), F.col("submitted_at").alias("published_at"), F.lit(None).cast("string").alias("text"))
     return direct.unionByName(files)
+
+
+def read_pages(pages: DataFrame, last: DataFrame) -> DataFrame:
+    """The rows of a publication's pages up to its last one; pages beyond it are not read."""
+    return pages.join(last, "publication").where(F.col("page") <= F.col("last_page")).drop("last_page").select(*pages.columns)
