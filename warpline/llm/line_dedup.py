@@ -48,11 +48,19 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.groupBy("t1", "t2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("lines").alias("lines"))
 
 
-def _reach(words: Column, least: int) -> Column:
-    """How many leading elements sum to ``least`` or more; null if all together do not."""
+def _reach(place: Column, step: int, least: int) -> Column:
+    """From ``place`` on, or backward, how many elements of ``w`` it takes to sum to ``least``; null if the text ends before.
+
+    Elements are looked up one by one, as a slice would copy the whole array each time.
+    """
+    room = F.size("w") - place if step > 0 else place + 1
     start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum"))
-    step = lambda acc, w: F.when(acc["sum"] >= least, acc).otherwise(F.struct((acc["n"] + 1).alias("n"), (acc["sum"] + w).alias("sum")))
-    return F.aggregate(words, start, step, lambda acc: F.when(acc["sum"] >= least, acc["n"]))
+
+    def add(acc: Column, d: Column) -> Column:
+        more = F.struct((acc["n"] + 1).alias("n"), (acc["sum"] + F.get("w", place + d * step)).alias("sum"))
+        return F.when(acc["sum"] >= least, acc).otherwise(more)
+
+    return F.aggregate(F.sequence(F.lit(0), F.least(room, F.lit(least)) - 1), start, add, lambda acc: F.when(acc["sum"] >= least, acc["n"]))
 
 
 def _pairs(k: int) -> Callable[[Column, Column], Column]:
@@ -74,34 +82,31 @@ def _runs(texts: DataFrame, min_words: int) -> DataFrame:
         rows = rows.withColumn(f"r{k}", F.transform(f"r{k - 1}", _pairs(k)))
     rows = rows.withColumns({"ranks": F.array(*[F.col(f"r{k}") for k in range(levels)]), "w": F.transform("lines", lambda x: x["w"])})
 
-    ahead = F.transform("w", lambda w, i: F.struct(i.alias("at"), _reach(F.slice(F.col("w"), i + 1, min_words), min_words).alias("n")))
+    # A run is one number, place and length, so that repeated ones are found by hashing.
+    base = min_words + 1
+    ahead = F.transform("w", lambda w, i: i.cast("long") * base + _reach(i, 1, min_words))
+    behind = F.transform("w", lambda w, i: (i - _reach(i, -1, min_words) + 1).cast("long") * base + _reach(i, -1, min_words))
+    found = F.array_distinct(F.filter(F.concat(ahead, behind), lambda x: x.isNotNull()))
 
-    def behind(w: Column, i: Column) -> Column:
-        start = F.greatest(i - (min_words - 1), F.lit(0))
-        n = _reach(F.reverse(F.slice(F.col("w"), start + 1, i - start + 1)), min_words)
-        return F.struct((i - n + 1).alias("at"), n.alias("n"))
+    def keyed(run: Column) -> Column:
+        """The run with its key, made where the ranks are, so that no row but the text's carries them."""
+        at, n = F.floor(run / base).cast("int"), (run % base).cast("int")
+        k = F.length(F.bin(n)) - 1
+        back = at + n - F.pow(F.lit(2), k).cast("int")
+        one, two = F.get(F.get("ranks", k), at), F.get(F.get("ranks", k), back)
+        return F.struct(
+            at.alias("at"), F.get("lines", at)["line"].alias("lo"), F.get("lines", at + n - 1)["line"].alias("hi"),
+            F.xxhash64(n, one["a"], two["a"]).alias("key1"), F.xxhash64(F.lit(2), n, one["b"], two["b"]).alias("key2"),
+        )
 
-    found = F.array_distinct(F.filter(F.concat(ahead, F.transform("w", behind)), lambda x: x["n"].isNotNull()))
-    rows = rows.select("t1", "t2", "first", "lines", "ranks", F.explode(found).alias("run"))
-    rows = rows.select("*", F.col("run.at").alias("at"), F.col("run.n").alias("n"), (F.length(F.bin("run.n")) - 1).alias("k"))
-    rank = F.get("ranks", F.col("k"))
-    one, two = F.get(rank, F.col("at")), F.get(rank, F.expr("at + n - shiftleft(1, k)"))
-    return rows.select(
-        "t1", "t2", "first", "at", F.get("lines", F.col("at"))["line"].alias("lo"), F.get("lines", F.expr("at + n - 1"))["line"].alias("hi"),
-        F.xxhash64("n", one["a"], two["a"]).alias("key1"), F.xxhash64(F.lit(2), "n", one["b"], two["b"]).alias("key2"),
-    )
-
-
-def _merged(runs: Column) -> Column:
-    """Sorted disjoint (lo, hi) of sorted ones; those that touch become one."""
-    empty = F.expr("cast(array() as array<struct<lo:int,hi:int>>)")
+    return rows.select("t1", "t2", "first", F.explode(F.transform(found, keyed)).alias("run")).select("t1", "t2", "first", "run.*")
 
-    def step(acc: Column, run: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joined = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], run["hi"]).alias("hi"))
-        return F.when((F.size(acc) > 0) & (run["lo"] <= last["hi"] + 1), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(run)))
 
-    return F.aggregate(runs, empty, step)
+def _stretches(places: Column) -> Column:
+    """Ascending places as (lo, hi) of consecutive ones."""
+    starts = F.filter(places, lambda x, i: (i == 0) | (F.get(places, i - 1) != x - 1))
+    ends = F.filter(places, lambda x, i: (i == F.size(places) - 1) | (F.get(places, i + 1) != x + 1))
+    return F.zip_with(starts, ends, lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
 
 
 def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -112,7 +117,9 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
     origins = runs.groupBy("key1", "key2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("origin")).where("times > 1").drop("times")
     origins = scratch.save(origins, "origins")
     later = runs.join(origins, ["key1", "key2"]).where(place > F.col("origin")).select("t1", "t2", "lo", "hi")
-    later = later.groupBy("t1", "t2").agg(_merged(F.array_sort(F.collect_set(F.struct("lo", "hi")))).alias("runs"))
+    later = later.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["lo"], r["hi"])))))
+    later = later.select("t1", "t2", gone.alias("gone")).select("t1", "t2", _stretches(F.col("gone")).alias("runs"))
     copied = F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["w"]) >= min_words
     joined = texts.join(later, ["t1", "t2"], "left").where("copies > 1 or runs is not null")
     return scratch.save(joined.select("t1", "t2", "first", copied.alias("copied"), "runs"), "verdicts")
@@ -143,7 +150,9 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     copy = F.col("_copied") & ~F.col(id_col).eqNullSafe(F.col("_first"))
     empty = F.expr("cast(array() as array<struct<lo:int,hi:int>>)")
     rows = rows.withColumn("_runs", F.when(copy, whole).otherwise(F.coalesce("_found", empty)))
-    kept = F.filter("_lines", lambda x, i: ~F.exists("_runs", lambda r: (i >= r["lo"]) & (i <= r["hi"])))
+    rows = rows.withColumn("_gone", F.flatten(F.transform("_runs", lambda r: F.sequence(r["lo"], r["hi"]))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    kept = F.transform(left, lambda i: F.get("_lines", i))
     text = F.when(F.size("_runs") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
     removed = F.aggregate("_runs", F.lit(0), lambda s, r: s + r["hi"] - r["lo"] + 1)
     out = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
