@@ -16,8 +16,8 @@ def test_dump_lines(spark, tmp_path):
     assert [json.loads(r.value)["id"] for r in lines.collect()] == ["1", "2"]
     assert dump.dump_lines(spark, str(tmp_path / "d.json"), '"2"').count() == 1
     assert dump.latest_date(lines).first().latest == "2024-03-02"
-    found = dump.provenance(spark, str(tmp_path / "d.json"), "parltrack").first()
-    assert found.document_id == "doc:parltrack:d" and len(found.sha256) == 64
+    found = dump.provenance(spark, str(tmp_path / "d.json"), "dumps").first()
+    assert found.document_id == "doc:dumps:d" and len(found.sha256) == 64
 
 
 def test_catalog_entries(spark):
