@@ -25,6 +25,7 @@ def plain_words(text):
 def test_word_offsets(spark, text):
     got = [(r.word, r.start, r.end) for r in one(spark, T.word_offsets(F.col("t")), t=text)]
     assert got == plain_words(text)
+    assert [(r.word, r.start, r.end) for r in one(spark, U.word_offsets("t"), t=text)] == got
     assert one(spark, T.words(F.col("t")), t=text) == [w for w, _, _ in got]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warpline.functions import text as T
-from warpline.functions.udfs import inserted_mask
+from warpline.functions.udfs import inserted_mask, word_offsets
 from warpline.operators.matching import common_words, exploded_windows, fold_runs, novel_windows, place_intervals, significant, with_words
 
 LONGEST_DIFF, COMMITTEE_TEXT = 3000, "committee_text"
@@ -66,7 +66,7 @@ def adopted_phrases(runs: DataFrame, article_words: DataFrame) -> DataFrame:
 
 def quoted_phrases(phrases: DataFrame, articles: DataFrame) -> DataFrame:
     """Adds span_start, span_end and quote: the exact wording in the provision's own text."""
-    placed = phrases.join(articles.select("article_id", F.col("text").alias("_text")), "article_id").withColumn("_o", T.word_offsets(F.col("_text")))
+    placed = phrases.join(articles.select("article_id", F.col("text").alias("_text")), "article_id").withColumn("_o", word_offsets("_text"))
     start, end = F.get("_o", F.col("first"))["start"], F.get("_o", F.col("end") - 1)["end"]
     return placed.withColumns({"span_start": start, "span_end": end, "quote": F.substring("_text", start + 1, end - start)}).drop("_text", "_o")
 
