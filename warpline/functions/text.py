@@ -6,6 +6,9 @@ here leaves the JVM.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,10 +57,18 @@ def word_offsets(text: Column) -> Column:
     return F.transform(kept, lambda x: F.struct(fold(x["word"]).alias("word"), x["start"].alias("start"), x["end"].alias("end")))
 
 
-def windows(word_array: Column, width: int = WINDOW) -> Column:
-    """array<struct<at, gram>>: every ``width`` consecutive words, joined by spaces; none in shorter arrays."""
+def windows(word_array: Column, width: int = WINDOW, mask: Column | None = None) -> Column:
+    """array<struct<at, gram>>: every ``width`` consecutive words, joined by spaces; none in shorter arrays.
+
+    With a ``mask`` (array<boolean>) only windows that hold a true place. Words are looked up one by one,
+    as a slice would copy the whole array for each window; so pass columns, not expressions.
+    """
     last = F.size(word_array) - width
-    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(word_array, i + 1, width), " ").alias("gram")))
+    places = F.sequence(F.lit(0), last)
+    if mask is not None:
+        some = lambda i: reduce(or_, [F.coalesce(F.get(mask, i + k), F.lit(False)) for k in range(width)])
+        places = F.filter(places, some)
+    grams = F.transform(places, lambda i: F.struct(i.alias("at"), F.concat_ws(" ", *[F.get(word_array, i + k) for k in range(width)]).alias("gram")))
     return F.when(last >= 0, grams).otherwise(F.expr("cast(array() as array<struct<at:int,gram:string>>)"))
 
 

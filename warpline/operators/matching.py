@@ -14,9 +14,10 @@ def with_words(texts: DataFrame, text_col: str = "text", name: str = "w") -> Dat
     return texts.withColumn(name, T.words(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def exploded_windows(rows: DataFrame, *keys: str, word_col: str = "w", at: str = "at") -> DataFrame:
-    """(keys, at, gram) of every window of the word arrays."""
-    return rows.select(*keys, F.explode(T.windows(F.col(word_col))).alias("x")).select(*keys, F.col("x.at").alias(at), F.col("x.gram").alias("gram"))
+def exploded_windows(rows: DataFrame, *keys: str, word_col: str = "w", at: str = "at", mask_col: str | None = None) -> DataFrame:
+    """(keys, at, gram) of every window of the word arrays; with a mask, of those that hold a true place."""
+    grams = T.windows(F.col(word_col), mask=F.col(mask_col) if mask_col else None)
+    return rows.select(*keys, F.explode(grams).alias("x")).select(*keys, F.col("x.at").alias(at), F.col("x.gram").alias("gram"))
 
 
 def novel_windows(article_words: DataFrame) -> DataFrame:
@@ -84,7 +85,8 @@ def fold_runs(hits: DataFrame, key: str) -> DataFrame:
     shift). A run goes on while the next window shares a diagonal with all of it, and keeps the shared
     ones alone; otherwise the next window begins a run of its own. A window without hits ends a run.
     """
-    sets = hits.groupBy(key, "at").agg(F.array_sort(F.collect_set(F.struct("article_id", (F.col("other_at") - F.col("at")).alias("shift")))).alias("diagonals"))
+    # Dealt out by key at once, so that both aggregations find their rows together.
+    sets = hits.repartition(key).groupBy(key, "at").agg(F.array_sort(F.collect_set(F.struct("article_id", (F.col("other_at") - F.col("at")).alias("shift")))).alias("diagonals"))
     per_key = sets.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "diagonals"))).alias("steps"))
     diagonals = "array<struct<article_id:string,shift:int>>"
     run = f"struct<start:int,last:int,diagonals:{diagonals}>"

@@ -83,8 +83,7 @@ def tabled_origins(
     windows all lie in adopted phrases is left to those. Equal runs are one phrase, dated for a document by the amendments
     that share the run with that document.
     """
-    own = exploded_windows(amendment_words, "amendment_id", at="other_at").join(amendment_words.select("amendment_id", "inserted"), "amendment_id")
-    own = own.where(F.exists(F.slice("inserted", F.col("other_at") + 1, T.WINDOW), lambda x: x)).drop("inserted").join(proposal_grams, "gram", "left_anti")
+    own = exploded_windows(amendment_words, "amendment_id", at="other_at", mask_col="inserted").join(proposal_grams, "gram", "left_anti")
     hits = exploded_windows(document_words, "document_id").join(own, "gram").select("document_id", "amendment_id", "at", "other_at")
     runs = longest_runs(hits, common, document_words, "document_id", "amendment_id")
     adopted = exploded_windows(phrases.withColumn("w", F.split("text", " ")), "phrase_id").select("gram").distinct()

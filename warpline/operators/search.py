@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from warpline.functions import text as T
 from warpline.functions.udfs import changed_spans, passage_spans, read_changes
 
-K1, B, TOP = 1.2, 0.75, 5
+K1, B, TOP, UNIT = 1.2, 0.75, 5, float(1 << 40)
 MOST_CHARACTERS, MOST_TOKENS = 12_000, 800
 ENOUGH, CLOSE, CHOICES = 0.5, 0.97, 3
 
@@ -29,15 +29,22 @@ def bm25(passages: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     passage that shares none is no result; ties go to the earlier place. Weights belong to the postings
     and are made once; a query adds up those of its terms, in the order of the terms.
     """
-    counts, terms = term_statistics(passages)
-    saturation = F.col("n") + K1 * (1 - B + B * F.col("length") / F.col("average"))
-    postings = counts.join(terms, "term").select("passage_id", "term", (F.col("idf") * F.col("n") * (K1 + 1) / saturation).alias("weight"))
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    hits = asked.join(postings, "term").groupBy("query_id", "passage_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("parts"))
-    scored = hits.select("query_id", "passage_id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["weight"]).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "place")
-    ranked = scored.join(passages.select("passage_id", "place"), "passage_id").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select("query_id", "passage_id", "score", "rank")
+    # Only the postings of words that are asked for are made; their statistics are those of all passages.
+    words = passages.select("passage_id", "place", F.size("w").alias("length"), F.explode("w").alias("term"))
+    counts = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("passage_id", "place", "length", "term").agg(F.count(F.lit(1)).alias("n"))
+    total = passages.agg(F.count(F.lit(1)).alias("total"), F.avg(F.size("w")).alias("average"))
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(total)
+    terms = df.select("term", F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "average")
+    saturation = F.col("n") + K1 * (1 - B + B * F.col("length") / F.col("average"))
+    # Weights in units of 2**-40: sums of whole numbers do not depend on the order of the terms, so ranks and ties
+    # are the same in every run.
+    weight = F.round(F.col("idf") * F.col("n") * (K1 + 1) / saturation * UNIT).cast("long")
+    postings = counts.join(terms, "term").select("passage_id", "place", "term", weight.alias("weight"))
+    scored = asked.join(postings, "term").groupBy("query_id", "passage_id", "place").agg(F.sum("weight").alias("weight"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("weight"), "place")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "passage_id", (F.col("weight") / UNIT).alias("score"), "rank")
 
 
 def with_context(passages: DataFrame) -> DataFrame:
