@@ -46,7 +46,7 @@ def adopted_runs(amendment_words: DataFrame, article_words: DataFrame) -> DataFr
     runs = runs.join(amendment_words.select("amendment_id", "w", "inserted"), "amendment_id")
     part = lambda name: F.slice(name, F.col("start") + 1, F.col("end") - F.col("start"))
     runs = runs.where(F.exists(part("inserted"), lambda x: x)).withColumn("run_words", part("w"))
-    kept = significant(runs.select("amendment_id", "start", "end", "diagonals", "run_words"), common_words(article_words), "amendment_id", "start")
+    kept = significant(runs.select("amendment_id", "start", "end", "diagonals", "run_words"), common_words(article_words))
     return kept.select("amendment_id", "start", "end", F.explode("diagonals").alias("d")).select("amendment_id", "start", "end", "d.article_id", (F.col("start") + F.col("d.shift")).alias("position"))
 
 

@@ -42,11 +42,16 @@ def common_words(article_words: DataFrame) -> DataFrame:
     return word_frequencies(article_words).where("common").select("word")
 
 
-def significant(runs: DataFrame, common: DataFrame, *keys: str, words_col: str = "run_words") -> DataFrame:
-    """The rows of ``runs``, one per ``keys``, whose words hold enough different words that are not common."""
-    rare = runs.select(*keys, F.explode(F.array_distinct(words_col)).alias("word")).join(common, "word", "left_anti")
-    enough = rare.groupBy(*keys).agg(F.count(F.lit(1)).alias("rare_words")).where(F.col("rare_words") >= RARE_WORDS)
-    return runs.join(enough, list(keys))
+def significant(runs: DataFrame, common: DataFrame, words_col: str = "run_words") -> DataFrame:
+    """The rows of ``runs`` whose words hold enough different words that are not common.
+
+    The common words are one row with an array: a word is common from a twentieth of the provisions on, so
+    there are at most twenty times as many as a provision has different words on average. So runs are
+    computed once and not joined with themselves.
+    """
+    one = common.agg(F.collect_set("word").alias("_common"))
+    rare = F.size(F.array_except(F.array_distinct(words_col), "_common"))
+    return runs.crossJoin(one).where(rare >= RARE_WORDS).drop("_common")
 
 
 def islands(hits: DataFrame, *keys: str, at: str = "at") -> DataFrame:
@@ -73,7 +78,7 @@ def longest_runs(hits: DataFrame, common: DataFrame, word_rows: DataFrame, left:
     met = hits.groupBy(left, right, "diagonal").agg(F.min("at").alias("met"), F.min_by("other_at", "at").alias("met_other"))
     runs = stretches.join(met, [left, right, "diagonal"]).withColumn("end", F.col("last") + T.WINDOW)
     runs = runs.join(word_rows.select(left, "w"), left).withColumn("run_words", F.slice("w", F.col("first") + 1, F.col("end") - F.col("first"))).drop("w")
-    kept = significant(runs, common, left, right, "diagonal", "first")
+    kept = significant(runs, common)
     best = Window.partitionBy(left, right).orderBy(F.desc(F.col("end") - F.col("first")), "met", "met_other", "first")
     return kept.withColumn("place", F.row_number().over(best)).where("place = 1").select(left, right, "first", "end", (F.col("end") - F.col("first")).alias("words"), "run_words")
 
@@ -85,8 +90,10 @@ def fold_runs(hits: DataFrame, key: str) -> DataFrame:
     shift). A run goes on while the next window shares a diagonal with all of it, and keeps the shared
     ones alone; otherwise the next window begins a run of its own. A window without hits ends a run.
     """
-    # Dealt out by key at once, so that both aggregations find their rows together.
-    sets = hits.repartition(key).groupBy(key, "at").agg(F.array_sort(F.collect_set(F.struct("article_id", (F.col("other_at") - F.col("at")).alias("shift")))).alias("diagonals"))
+    # Dealt out by key at once, so that both aggregations find their rows together; into a set number of
+    # partitions, as the folds are more work than the rows' bytes tell.
+    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = hits.repartition(parts, key).groupBy(key, "at").agg(F.array_sort(F.collect_set(F.struct("article_id", (F.col("other_at") - F.col("at")).alias("shift")))).alias("diagonals"))
     per_key = sets.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "diagonals"))).alias("steps"))
     diagonals = "array<struct<article_id:string,shift:int>>"
     run = f"struct<start:int,last:int,diagonals:{diagonals}>"

@@ -40,7 +40,8 @@ def bm25(passages: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     # Weights in units of 2**-40: sums of whole numbers do not depend on the order of the terms, so ranks and ties
     # are the same in every run.
     weight = F.round(F.col("idf") * F.col("n") * (K1 + 1) / saturation * UNIT).cast("long")
-    postings = counts.join(terms, "term").select("passage_id", "place", "term", weight.alias("weight"))
+    # Merged, so that the postings keep their partitions however small the table of terms is.
+    postings = counts.join(terms.hint("merge"), "term").select("passage_id", "place", "term", weight.alias("weight"))
     scored = asked.join(postings, "term").groupBy("query_id", "passage_id", "place").agg(F.sum("weight").alias("weight"))
     order = Window.partitionBy("query_id").orderBy(F.desc("weight"), "place")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
