@@ -6,8 +6,8 @@ vectors. Nyström landmarks map it to finite features, and kernel ridge regressi
 classifier per language against the rest. Texts are scored in batches by two matrix products,
 presence times landmarks and kernel values times coefficients.
 
-The classifier is fitted on a bounded sample, ``ROWS_PER_LANGUAGE`` rows of each language in hash
-order; every text is scored whole, long ones in pieces whose sets are united.
+The classifier is fitted on a bounded sample, a share of the rows by a hash of id and text that
+makes about ``ROWS_PER_LANGUAGE`` of each language; every text is scored whole, long ones in pieces whose sets are united.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDER, BUCKETS, LANDMARKS, ROWS_PER_LANGUAGE, RIDGE, PIECE, BATCH = 3, 1 << 15, 96, 300, 1e-3, 1 << 20, 128
@@ -110,10 +110,14 @@ def identify_languages(docs: DataFrame, train: Column, id_col: str = "doc_id", t
     null or has no letter is ``und`` with score 0, and so is every text if there is nothing to learn from.
     Null ids and repeated rows stay; other columns are ignored; an empty table gives an empty result.
     """
-    labelled = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    ids = labelled.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows_per_language)
-    sample = ids.orderBy("lang", "place").select("text", "lang").collect()
+    labelled = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"))
+    # A language's share of rows by their hashes, read in place; the classifier has a column per language anyway.
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    least = F.lit(0)
+    if counts:
+        limits = [x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(int(min(1.0, rows_per_language / n) * (1 << 30))))]
+        least = F.create_map(*limits)[F.col("lang")]
+    sample = labelled.where(F.pmod("h", F.lit(1 << 30)) < least).dropDuplicates(["lang", "h"]).orderBy("lang", "h").select("text", "lang").collect()
     shared = docs.sparkSession.sparkContext.broadcast(fit([r["text"] for r in sample], [r["lang"] for r in sample]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
