@@ -81,6 +81,20 @@ def test_kneser_ney_sums_to_one():
     assert model.evidence([]) == [] and len(model.evidence(["ab", "zzz", "é" * 64])) == 3
 
 
+def test_no_gram_is_dropped(spark):
+    """Tables of all orders give the evidence that one model of all counts gives, rare words included."""
+    rng = random.Random(5)
+    rows = [(invented(rng, "xx", 12) + f" w{i}q{i * 7}", int(i % 3 == 0)) for i in range(150)]
+    scratch = toxicity.Scratch(spark, "test")
+    grams = scratch.save(toxicity.gram_counts(spark.createDataFrame(rows, "text string, toxic int").withColumn("held", F.lit(False))), "grams")
+    frame = grams.select("gram", "n0", "n1").toPandas()
+    words = sorted({w for t, _ in rows for w in toxicity.words_of(t)} | {"zzz", "bakuz", "é" * 9})
+    assert set(frame["gram"]) == {p[i : i + 5] for t, _ in rows for w in toxicity.words_of(t) for p in ["\x02" * 4 + w + "\x03"] for i in range(len(w) + 1)}
+    expected = dict(zip(words, toxicity.Model(*toxicity.fit_ratios(frame), np.zeros(4), 0.0).evidence(words), strict=True))
+    got = {r.word: r.own for r in toxicity.word_evidence(spark.createDataFrame([(w,) for w in words], "word string"), grams, scratch).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[w] - expected[w]) < 1e-9 for w in words)
+
+
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(3)
