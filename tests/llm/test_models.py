@@ -91,8 +91,27 @@ def test_no_gram_is_dropped(spark):
     words = sorted({w for t, _ in rows for w in toxicity.words_of(t)} | {"zzz", "bakuz", "é" * 9})
     assert set(frame["gram"]) == {p[i : i + 5] for t, _ in rows for w in toxicity.words_of(t) for p in ["\x02" * 4 + w + "\x03"] for i in range(len(w) + 1)}
     expected = dict(zip(words, toxicity.Model(*toxicity.fit_ratios(frame), np.zeros(4), 0.0).evidence(words), strict=True))
-    got = {r.word: r.own for r in toxicity.word_evidence(spark.createDataFrame([(w,) for w in words], "word string"), grams, scratch).collect()}
-    assert got.keys() == expected.keys() and all(abs(got[w] - expected[w]) < 1e-9 for w in words)
+    wanted = toxicity.different_grams(words)
+    value = {r.gram: r.own for r in toxicity.gram_evidence(spark.createDataFrame([(g,) for g in wanted], "gram string"), grams, scratch).collect()}
+    got = dict(zip(words, toxicity.word_sums(words, np.array([value[g] for g in wanted])), strict=True))
+    assert len(value) == len(wanted) and all(abs(got[w] - expected[w]) < 1e-9 for w in words)
+
+
+def test_calibration_rows_are_counted(spark):
+    """An expression that only calibration rows have is known to the model that scores, and unknown to the one that measures them."""
+    rng = random.Random(6)
+    rows = [(i, invented(rng, "xx", 40) + (" grutz" if i % 4 == 0 else ""), int(i % 4 == 0), False) for i in range(200)]
+    rows += [(1000 + i, invented(rng, "xx", 40) + " vexpq" * (i % 2), i % 2, True) for i in range(100)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int, fold boolean")
+    docs = spark.createDataFrame([(1, invented(rng, "xx", 40) + " vexpq"), (2, invented(rng, "xx", 40))], "doc_id long, text string")
+    scratch = toxicity.Scratch(spark, "test")
+    grams = scratch.save(toxicity.gram_counts(labelled.withColumn("held", F.col("fold"))), "grams")
+    found = {r.gram: (r.n0, r.n1, r.m0, r.m1) for r in grams.collect()}
+    assert found["vexpq"] == (0, 50, 0, 0) and found["grutz"] == (0, 50, 0, 50)
+    value = toxicity.gram_evidence(spark.createDataFrame([("vexpq",)], "gram string"), grams, scratch).first()
+    assert value.own > 1 and value.apart == 0
+    score = {r.doc_id: r._score for r in toxicity.toxicity_scores(docs, labelled, F.col("fold")).collect()}
+    assert score[1] > score[2]
 
 
 @pytest.fixture(scope="module")

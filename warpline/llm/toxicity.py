@@ -6,12 +6,13 @@ different left contexts below), order 2 and below pool both classes. A word's ev
 difference of its log-likelihoods; a text is scored by the length-normalised difference over all its words and by
 its strongest words, as a few expressions can make a long text toxic.
 
-No n-gram is dropped. The counts, every order of the models and the evidence of the different words to be scored are
+No n-gram is dropped. The counts, every order of the models and the evidence of the different n-grams to be scored are
 tables, made by aggregations that combine before the shuffle and by equi-joins; nothing of them is
-collected or sent to all machines by hand. Texts become numbered words of their batch (at most about 16 MB
-of text), and each batch meets the evidence of its own words. The
+collected or sent to all machines by hand. Texts become numbered words of their batch (about 8 MB
+of text, or one text), and each batch meets the evidence of its own n-grams. The
 four numbers per text are calibrated by a logistic regression on ``CALIBRATION_ROWS`` training rows (a share of
-the rows by a hash of their ids, two hundredths below that bound) that the models did not count.
+the rows by a hash of their ids, two hundredths below that bound). Texts are scored by models that count
+every training row, these too; the rows of the regression are measured by models that leave them out.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warpline.llm.common import Scratch, text_batches
 
 ORDER, SHARED, DISCOUNT, CALIBRATION_ROWS, STRONGEST = 5, 2, 0.75, 20_000, 3
-#: The models, each by its columns of ordinary and toxic counts.
-MODELS = {"own": ("n0", "n1")}
+#: The models, each by its columns of ordinary and toxic counts: of all rows, and of those that do not calibrate.
+MODELS = {"own": ("n0", "n1"), "apart": ("m0", "m1")}
 _COUNTS = [c for pair in MODELS.values() for c in pair]
 PAD, END, MOST_LETTERS = "\x02", "\x03", 64
 _WORDS = re.compile(r"[^\W_]+")
@@ -48,19 +50,19 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) to (word, toxic, texts with it), summed as far as memory allows."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    """(text, toxic, held) to (word, toxic, held, texts with it), summed as far as memory allows."""
+    counts = {(toxic, held): Counter() for toxic in (0, 1) for held in (False, True)}
 
     def out() -> Iterator[pa.RecordBatch]:
-        for toxic, own in enumerate(counts):
+        for (toxic, held), own in counts.items():
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([toxic] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], names=["word", "toxic", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([toxic] * len(own), pa.int32()), pa.array([held] * len(own), pa.bool_()), pa.array(list(own.values()), pa.int64())], names=["word", "toxic", "held", "n"])
                 own.clear()
 
     for batch in text_batches(batches):
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[toxic].update(set(words_of(text)))
-        if len(counts[0]) + len(counts[1]) > 200_000:
+        for text, *kind in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            counts[tuple(kind)].update(set(words_of(text)))
+        if sum(map(len, counts.values())) > 200_000:
             yield from out()
     yield from out()
 
@@ -72,10 +74,11 @@ def _grams(word: Column | str) -> Column:
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """(gram, n0, n1): how often each sequence of ``ORDER`` characters occurs in ordinary and toxic words."""
-    words = labelled.select("text", "toxic").mapInArrow(_count_words, "word string, toxic int, n bigint")
-    words = words.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    return words.select(F.explode(_grams(F.col("word"))).alias("gram"), "n0", "n1").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    """(gram, n0, n1, m0, m1): how often each sequence of ``ORDER`` characters occurs in ordinary and toxic words, of all rows and of those not ``held``."""
+    words = labelled.select("text", "toxic", "held").mapInArrow(_count_words, "word string, toxic int, held boolean, n bigint")
+    kinds = {"n0": F.col("toxic") == 0, "n1": F.col("toxic") == 1, "m0": (F.col("toxic") == 0) & ~F.col("held"), "m1": (F.col("toxic") == 1) & ~F.col("held")}
+    words = words.groupBy("word").agg(*[F.sum(F.when(kind, F.col("n")).otherwise(0)).alias(c) for c, kind in kinds.items()])
+    return words.select(F.explode(_grams(F.col("word"))).alias("gram"), *_COUNTS).groupBy("gram").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
 def _ratios(of: str) -> list[Column]:
@@ -108,19 +111,17 @@ def ratio_tables(grams: DataFrame, scratch: Scratch) -> tuple[dict[int, DataFram
     return found, contexts
 
 
-def word_evidence(words: DataFrame, grams: DataFrame, scratch: Scratch) -> DataFrame:
-    """(word, for each model log p(word | toxic) - log p(word | ordinary)) for different words; ``grams`` from ``gram_counts``."""
+def gram_evidence(wanted: DataFrame, grams: DataFrame, scratch: Scratch) -> DataFrame:
+    """(gram, for each model the log ratio of its last character after the others) for different grams; ``grams`` from ``gram_counts``."""
     found, contexts = ratio_tables(grams, scratch)
-    spelt = words.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
-    rows = spelt.select("gram").distinct()
+    rows = wanted.select("gram")
     value = {m: F.lit(0.0) for m in MODELS}
     for n in range(SHARED + 1, ORDER + 1):
         hit = found[n].select(F.col("gram").alias(f"g{n}"), *[F.col(m).alias(f"hit{n}_{m}") for m in MODELS])
         back = contexts[n].select(F.col("context").alias(f"c{n}"), *[F.col(m).alias(f"back{n}_{m}") for m in MODELS])
         rows = rows.join(hit, F.substring("gram", ORDER - n + 1, n) == F.col(f"g{n}"), "left").join(back, F.substring("gram", ORDER - n + 1, n - 1) == F.col(f"c{n}"), "left")
         value = {m: F.coalesce(F.col(f"hit{n}_{m}"), F.coalesce(F.col(f"back{n}_{m}"), F.lit(0.0)) + value[m]) for m in MODELS}
-    valued = scratch.save(rows.select("gram", *[v.alias(m) for m, v in value.items()]), "values")
-    return spelt.join(valued, "gram").groupBy("word").agg(*[F.sum(m).alias(m) for m in MODELS])
+    return rows.select("gram", *[v.alias(m) for m, v in value.items()])
 
 
 def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +142,34 @@ def _hashes(codes: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _windows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the padded words, and for each of their n-grams the word and where it ends."""
+    codes, starts = _codes([PAD * (ORDER - 1) + w + END for w in words])
+    lengths = np.array([len(w) for w in words], dtype=np.int64) + 1
+    owner = np.repeat(np.arange(len(words)), lengths)
+    ends = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts + ORDER - 1, lengths)
+    return codes, owner, ends
+
+
+def different_grams(words: list[str]) -> list[str]:
+    """The n-grams of ``words``, once each, in the order of their hashes."""
+    if not words:
+        return []
+    codes, _, ends = _windows(words)
+    _, at = np.unique(_hashes(codes, ends, ORDER), return_index=True)
+    text = codes.astype("<u4").tobytes().decode("utf-32-le")
+    return [text[e - ORDER + 1 : e + 1] for e in ends[at].tolist()]
+
+
+def word_sums(words: list[str], values: np.ndarray) -> np.ndarray:
+    """Each word's evidence, from that of its n-grams in the order of ``different_grams``."""
+    if not words:
+        return np.zeros(0)
+    codes, owner, ends = _windows(words)
+    _, which = np.unique(_hashes(codes, ends, ORDER), return_inverse=True)
+    return np.bincount(owner, weights=values[which], minlength=len(words))
+
+
 @dataclass
 class Model:
     """By order: sorted hashes of n-grams with the log ratio of the two likelihoods, and of contexts with that of the back-off weights."""
@@ -154,11 +183,7 @@ class Model:
         """log p(word | toxic) - log p(word | ordinary) for each word."""
         if not words:
             return []
-        padded = [PAD * (ORDER - 1) + w + END for w in words]
-        codes, starts = _codes(padded)
-        lengths = np.array([len(w) for w in words]) + 1
-        owner = np.repeat(np.arange(len(words)), lengths)
-        ends = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts + ORDER - 1, lengths)
+        codes, owner, ends = _windows(words)
         total, todo = np.zeros(len(ends)), np.arange(len(ends))
         for n in range(ORDER, SHARED, -1):
             keys, values = self.grams[n]
@@ -216,28 +241,30 @@ def fit_ratios(table: pd.DataFrame) -> tuple[dict, dict]:
     return grams, contexts
 
 
-_SPELT = "batch bigint, k1 bigint, k2 bigint, toxic int, at binary, n binary, words array<string>"
+_SPELT = "batch bigint, k1 bigint, k2 bigint, toxic int, at binary, n binary, words binary, grams array<string>"
+BATCH_BYTES = 8 << 20
 
 
 def _number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, toxic, text) to the numbers and counts of a text's words, and one row with the words of the batch in the order of their numbers."""
-    pack = lambda values: zlib.compress(np.asarray(values, dtype=np.int32).tobytes(), 1)
-    for batch in text_batches(batches):
+    """(k1, k2, toxic, text) to the numbers and counts of a text's words, and one row with the words of the batch in the order of their numbers, and their n-grams."""
+    for batch in text_batches(batches, BATCH_BYTES):
         numbers: dict[str, int] = {}
         at, n = [], []
         for text in batch.column(3).to_pylist():
             counts = Counter(words_of(text))
-            own = sorted((numbers.setdefault(w, len(numbers)), k) for w, k in counts.items())
-            at.append(pack(np.diff([i for i, _ in own], prepend=0)))
-            n.append(pack([k for _, k in own]))
+            own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in counts), np.int32, len(counts))
+            order = np.argsort(own)
+            at.append(zlib.compress(np.diff(own[order], prepend=np.int32(0)).tobytes(), 1))
+            n.append(zlib.compress(np.fromiter(counts.values(), np.int32, len(counts))[order].tobytes(), 1))
         size = batch.num_rows
-        nothing = lambda kind: pa.nulls(1, kind)
+        words = list(numbers)
         columns = [
             pa.array([secrets.randbits(63)] * (size + 1), pa.int64()),
-            *[pa.concat_arrays([batch.column(i), nothing(batch.column(i).type)]) for i in range(3)],
-            pa.array([*at, None], pa.binary()), pa.array([*n, None], pa.binary()), pa.array([*[None] * size, list(numbers)], pa.list_(pa.string())),
+            *[pa.concat_arrays([batch.column(i), pa.nulls(1, batch.column(i).type)]) for i in range(3)],
+            pa.array([*at, None], pa.binary()), pa.array([*n, None], pa.binary()),
+            pa.array([*[None] * size, zlib.compress(" ".join(words).encode(), 1)], pa.binary()), pa.array([*[None] * size, different_grams(words)], pa.list_(pa.string())),
         ]
-        yield pa.RecordBatch.from_arrays(columns, names=["batch", "k1", "k2", "toxic", "at", "n", "words"])
+        yield pa.RecordBatch.from_arrays(columns, names=["batch", "k1", "k2", "toxic", "at", "n", "words", "grams"])
 
 
 def _features(at: np.ndarray, n: np.ndarray, evidence: np.ndarray) -> list[float]:
@@ -254,9 +281,9 @@ def _features(at: np.ndarray, n: np.ndarray, evidence: np.ndarray) -> list[float
 def text_features(texts: DataFrame, grams: DataFrame, scratch: Scratch) -> DataFrame:
     """(k1, k2, toxic, x0, x1, ...) for rows (k1, k2, toxic, text); those with a label are measured by the last of ``MODELS``, the others by the first."""
     spelt = scratch.save(texts.select("k1", "k2", "toxic", "text").mapInArrow(_number_words, _SPELT), "spelt")
-    words = spelt.where("words is not null").select("batch", F.posexplode("words").alias("i", "word"))
-    evidence = scratch.save(word_evidence(words.select("word").distinct(), grams, scratch), "evidence")
-    valued = words.join(evidence, "word").select(F.col("batch").alias("known"), "i", *MODELS)
+    wanted = spelt.where("grams is not null").select(F.col("batch").alias("known"), F.posexplode("grams").alias("i", "gram"))
+    evidence = scratch.save(gram_evidence(wanted.select("gram").distinct(), grams, scratch), "evidence")
+    valued = wanted.join(evidence, "gram").select("known", "i", *MODELS)
     first, last = list(MODELS)[0], list(MODELS)[-1]
     names = ["k1", "k2", "toxic", *[f"x{i}" for i in range(1 + STRONGEST)]]
 
@@ -264,15 +291,17 @@ def text_features(texts: DataFrame, grams: DataFrame, scratch: Scratch) -> DataF
         return np.frombuffer(zlib.decompress(blob), dtype=np.int32)
 
     def measure(rows: pa.Table, known: pa.Table) -> pa.Table:
+        texts = rows.filter(pc.is_null(rows.column("words")))
+        words = zlib.decompress(rows.column("words").drop_null()[0].as_py()).decode().split()
         order = np.argsort(known.column("i").to_numpy())
-        values = {m: known.column(m).to_numpy()[order] for m in MODELS}
-        toxic = rows.column("toxic").to_pylist()
-        x = [_features(np.cumsum(unpack(a)), unpack(n), values[first if t is None else last]) for a, n, t in zip(rows.column("at").to_pylist(), rows.column("n").to_pylist(), toxic, strict=True)]
-        return pa.table([*[rows.column(c) for c in names[:3]], *[pa.array([r[i] for r in x], pa.float64()) for i in range(1 + STRONGEST)]], names=names)
+        toxic = texts.column("toxic").to_pylist()
+        needed = {last if t is not None else first for t in toxic}
+        values = {m: word_sums(words, known.column(m).to_numpy()[order]) for m in needed}
+        x = [_features(np.cumsum(unpack(a)), unpack(n), values[first if t is None else last]) for a, n, t in zip(texts.column("at").to_pylist(), texts.column("n").to_pylist(), toxic, strict=True)]
+        return pa.table([*[texts.column(c) for c in names[:3]], *[pa.array([r[i] for r in x], pa.float64()) for i in range(1 + STRONGEST)]], names=names)
 
     kinds = "k1 bigint, k2 bigint, toxic int, " + ", ".join(f"{x} double" for x in names[3:])
-    rows = spelt.where("words is null").drop("words")
-    return rows.groupBy("batch").cogroup(valued.groupBy("known")).applyInArrow(measure, kinds)
+    return spelt.drop("grams").groupBy("batch").cogroup(valued.groupBy("known")).applyInArrow(measure, kinds)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
@@ -292,8 +321,8 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2
 def toxicity_scores(docs: DataFrame, labelled: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text..., score): ``docs`` with a score from 0 to 1 for every whole text.
 
-    ``labelled`` has doc_id, text and toxic, 1 or 0; other labels are left out. Rows are counted where ``fold``
-    is false, and calibrated with where it is true. Null and empty texts
+    ``labelled`` has doc_id, text and toxic, 1 or 0; other labels are left out. All its rows are counted;
+    the calibration takes its rows where ``fold`` is true. Null and empty texts
     have no evidence and get the score of that. Without training rows of both classes the score is 0
     throughout. Null ids and repeated rows stay; all columns of ``docs`` are passed through.
     """
@@ -301,8 +330,8 @@ def toxicity_scores(docs: DataFrame, labelled: DataFrame, fold: Column, id_col:
     rows = labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.coalesce(fold, F.lit(False)).alias("fold"))
     share = CALIBRATION_ROWS / max(rows.where("fold").count(), 1)
     held = F.col("fold") & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < min(1.0, 0.98 * share) * (1 << 20))
-    rows = rows.select("text", "toxic", "fold", held.alias("held"))
-    grams = scratch.save(gram_counts(rows.where(~F.col("fold"))), "grams")
+    rows = rows.select("text", "toxic", held.alias("held"))
+    grams = scratch.save(gram_counts(rows), "grams")
     plain, toxic = grams.agg(F.sum("n0"), F.sum("n1")).first()
     if not plain or not toxic:
         return docs.withColumn("_score", F.lit(0.0))
