@@ -979,6 +979,18 @@ def resolve_law(spark, d):
     return S.resolve_law(asked, entries, spark.createDataFrame([], "key string, title_id string"), U.caseless_key).select("query_id", "status", "found")
 
 
+@query("""with p as (select distinct o_orderkey % 10000 as n from orders where o_orderkey % 7 <> 0)
+select o_orderkey as query_id, case when n is null then 'unknown' else 'chosen' end as status, '2020/' || lpad(n::varchar, 4, '0') || '(COD)' as found from orders left join p on o_orderkey % 10000 = n""")
+def resolve_law_all(spark, d):
+    """All orders as dossiers and all as queries, those that lead nowhere too."""
+    entries, _ = dump.catalog(dump.read_dump(dump.dump_lines(spark, _dossiers(spark, d).select("value")), dump.DOSSIER))
+    k = F.col("o_orderkey")
+    number = (k % 10000).cast("string")
+    typed = F.when(k % 3 == 0, F.concat(F.lit("2020/"), number, F.lit(" cod"))).otherwise(F.concat(F.lit("com(2020) "), number))
+    asked = table(spark, d, "orders").select(k.alias("query_id"), typed.alias("query"))
+    return S.resolve_law(asked, entries, spark.createDataFrame([], "key string, title_id string"), U.caseless_key).select("query_id", "status", "found")
+
+
 @query("""select o_orderpriority as code, count(*) || ' ' || o_orderpriority as line from orders group by o_orderpriority""")
 def problem_counts(spark, d):
     return I.problem_counts(table(spark, d, "orders").select(F.col("o_orderpriority").alias("code")))
