@@ -1,12 +1,15 @@
-"""Queries over whole tables: against their SQL."""
+"""Queries over whole tables: against their SQL, or brute force."""
 
 import os
 from collections import Counter
+from difflib import SequenceMatcher
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from warpline import catalog
+from warpline.functions import text as T
 
 FOLDER = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables are not here")
@@ -26,3 +29,18 @@ def against_sql(spark, name):
 def test_law_is_resolved_for_all_orders(spark):
     got = against_sql(spark, "resolve_law_all")
     assert len(got) == spark.read.parquet(f"{FOLDER}/orders.parquet").count() and {r[1] for r in got} == {"chosen", "unknown"}
+
+
+def test_summary_counts_misspelt_names(spark):
+    tokens = F.array_join(F.array_sort(F.array_distinct(T.name_tokens(F.col("name")))), " ")
+    entries = [(r.register_id, r.t) for r in catalog._entries(spark, FOLDER).select("register_id", F.explode("names").alias("name")).where("name is not null").select("register_id", tokens.alias("t")).collect()]
+    mentions = catalog._mentions(spark, FOLDER).where("mention_id % 7 = 3").select(F.col("spelling").alias("name")).select(tokens.alias("t")).collect()
+    expected = Counter({"register_id": 0, "mep_id": 0, "ambiguous": 0})
+    for m in mentions:
+        scores = {i: max(SequenceMatcher(None, m.t, t, autojunk=False).ratio() for j, t in entries if j == i) for i, _ in entries}
+        best = [i for i, v in scores.items() if v == max(scores.values())]
+        expected["unresolved" if max(scores.values()) < 0.9 else "fuzzy" if len(best) == 1 else "ambiguous"] += 1
+    sub = {r.method: r.actors for r in catalog.QUERIES["resolution_summary"](spark, FOLDER).collect()}
+    got = {r.method: r.actors for r in catalog.QUERIES["resolution_summary_all"](spark, FOLDER).collect()}
+    assert mentions and {m: got[m] - sub[m] for m in got} == {m: expected[m] for m in got}
+    assert sum(got.values()) == spark.read.parquet(f"{FOLDER}/supplier.parquet").count()

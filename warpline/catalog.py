@@ -512,6 +512,12 @@ def resolution_summary(spark, d):
     return E.resolution_summary(E.resolve(_mentions(spark, d).where("mention_id % 7 <> 3"), _entries(spark, d)))
 
 
+@query()
+def resolution_summary_all(spark, d):
+    """All mentions, the misspelt ones too; plain SQL has no similarity of names."""
+    return E.resolution_summary(E.resolve(_mentions(spark, d), _entries(spark, d)))
+
+
 @query("""select 'actor:' || source as actor_id, min(lang) as lang, string_agg(distinct lang, ',' order by lang) as aliases from documents group by source""")
 def merge_actors(spark, d):
     rows = table(spark, d, "documents").select(F.concat(F.lit("actor:"), "source").alias("actor_id"), "lang", F.array("lang").alias("aliases"))
