@@ -44,3 +44,8 @@ def test_summary_counts_misspelt_names(spark):
     got = {r.method: r.actors for r in catalog.QUERIES["resolution_summary_all"](spark, FOLDER).collect()}
     assert mentions and {m: got[m] - sub[m] for m in got} == {m: expected[m] for m in got}
     assert sum(got.values()) == spark.read.parquet(f"{FOLDER}/supplier.parquet").count()
+
+
+def test_pages_grow_with_the_table(spark):
+    got = against_sql(spark, "feedback_pages_all")
+    assert max(r[0] for r in got) > 7

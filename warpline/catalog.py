@@ -1048,3 +1048,12 @@ def feedback_pages(spark, d):
     rows = c.select(page.alias("page"), F.col("c_nationkey").alias("publication"), F.col("c_custkey").alias("feedback_id"))
     last = rows.select("publication").distinct().withColumn("last_page", F.lit(7).cast("long"))
     return feedback.read_pages(rows, last)
+
+
+@query("""with c as (select c_nationkey as publication, count(*) as n from customer group by c_nationkey)
+select c_custkey // 100 as page, publication, c_custkey as feedback_id from customer join c on c_nationkey = publication where c_custkey // 100 <= n // 4""")
+def feedback_pages_all(spark, d):
+    """The last page follows from a publication's number of rows, of which a page has four on average."""
+    rows = table(spark, d, "customer").select((F.col("c_custkey") / 100).cast("long").alias("page"), F.col("c_nationkey").alias("publication"), F.col("c_custkey").alias("feedback_id"))
+    last = rows.groupBy("publication").agg(F.floor(F.count(F.lit(1)) / 4).alias("last_page"))
+    return feedback.read_pages(rows, last)
