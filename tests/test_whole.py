@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from warpline import catalog
 from warpline.functions import text as T
+from warpline.sources import documents
 
 FOLDER = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables are not here")
@@ -49,3 +50,13 @@ def test_summary_counts_misspelt_names(spark):
 def test_pages_grow_with_the_table(spark):
     got = against_sql(spark, "feedback_pages_all")
     assert max(r[0] for r in got) > 7
+
+
+def test_long_texts_are_extracted(spark):
+    got = against_sql(spark, "extracted_text_all")
+    assert sum(n > 5000 for _, _, n in got) > 0 and not any(c == "text_too_large" for _, c, _ in got)
+
+
+def test_too_large_text(spark):
+    rows = spark.createDataFrame([(1, "x" * documents.MOST_CHARACTERS), (2, "x" * (documents.MOST_CHARACTERS + 1))], "id int, t string").withColumn("content", F.encode("t", "utf-8"))
+    assert {r.id: (r.code, r.characters) for r in documents.extract_text(rows).collect()} == {1: (None, 500_000), 2: ("text_too_large", None)}

@@ -960,6 +960,13 @@ def extracted_text(spark, d):
     return documents.extract_text(rows, "content", most_characters=5000).select("doc_id", "code", F.coalesce("characters", F.lit(-1)).alias("characters"))
 
 
+@query("""select doc_id, case when length(text) > 500000 then 'text_too_large' when trim(text) = '' then 'empty_document' end as code, case when length(text) <= 500000 and trim(text) <> '' then length(text) else -1 end as characters from documents""")
+def extracted_text_all(spark, d):
+    """With the limit that the operator has of itself."""
+    rows = table(spark, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
+    return documents.extract_text(rows, "content").select("doc_id", "code", F.coalesce("characters", F.lit(-1)).alias("characters"))
+
+
 @query("""select c_custkey, case c_custkey % 3 when 0 then 'stricter' when 1 then 'weaker' else 'unknown' end as direction, c_custkey % 3 = 2 as statement from customer""")
 def ask_directions(spark, d):
     k = F.col("c_custkey") % 3
