@@ -1,14 +1,16 @@
 """Language, toxicity and packing: held-out accuracy, exact round trips, least cost."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from warpline.llm import language_id, packing, toxicity
-from warpline.llm.queries import QUERIES, crc_fold
+from warpline.llm.queries import QUERIES, crc_fold, labelled_documents
 
 SYLLABLES = {"xx": ["ba", "ku", "lo"], "yy": ["strem", "pfi", "zug"], "zz": ["ñe", "ción", "arr"]}
 
@@ -64,37 +66,97 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity_scores(docs.limit(0), known, F.lit(False)).collect() == []
 
 
-def test_kneser_ney_sums_to_one():
-    import pandas as pd
-
-    words = ["ab", "abc", "bca", "cab", "aab"]
-    table = {}
-    for c, ws in ((0, words), (1, words[:3])):
-        for w in ws:
-            padded = toxicity.PAD * 4 + w + toxicity.END
-            for i in range(len(w) + 1):
-                table.setdefault(padded[i : i + 5], [0, 0])[c] += 1
-    frame = pd.DataFrame([(g, *n) for g, n in table.items()], columns=["gram", "n0", "n1"])
-    grams, contexts = toxicity.fit_ratios(frame)
-    assert all(np.isfinite(v).all() for _, v in grams.values()) and all(np.isfinite(v).all() for _, v in contexts.values())
-    model = toxicity.Model(grams, contexts, np.zeros(4), 0.0)
-    assert model.evidence([]) == [] and len(model.evidence(["ab", "zzz", "é" * 64])) == 3
+class PlainKneserNey:
+    """The models by their definition, recursively, from the words of the texts."""
+
+    def __init__(self, rows, order=5, shared=2, discount=0.75):
+        self.shared, self.discount = shared, discount
+        occurrences = [Counter(), Counter()]
+        for text, toxic in rows:
+            for word in toxicity.words_of(text):
+                padded = toxicity.PAD * (order - 1) + word + toxicity.END
+                occurrences[toxic].update(padded[i : i + order] for i in range(len(word) + 1))
+        self.own, self.pool = {order: occurrences}, {}
+        for n in range(order - 1, 0, -1):
+            self.own[n] = [Counter(g[1:] for g in up) for up in self.own[n + 1]]
+            above = set(self.own[n + 1][0]) | set(self.own[n + 1][1])
+            self.pool[n] = Counter(g[1:] for g in above)
+        self.letters = sorted(self.pool[1])
+
+    def p(self, toxic, context, x):
+        if not context:
+            return (self.pool[1][x] + 1) / (sum(self.pool[1].values()) + len(self.pool[1]) + 1)
+        n = len(context) + 1
+        counts = self.pool[n] if n <= self.shared else self.own[n][toxic]
+        after = [c for g, c in counts.items() if g[:-1] == context and c > 0]
+        low = self.p(toxic, context[1:], x)
+        if not after:
+            return low
+        return max(counts[context + x] - self.discount, 0) / sum(after) + self.discount * len(after) / sum(after) * low
+
+    def ratio(self, gram):
+        return math.log(self.p(1, gram[:-1], gram[-1]) / self.p(0, gram[:-1], gram[-1]))
+
+
+def test_kneser_ney_sums_to_one(spark):
+    """Every context's probabilities, an unknown character's included, sum to one; the tables give their ratios, for seen and unseen n-grams."""
+    rows = [("ab abc, bca. cab aab ab ab", 0), ("ab abc bca bca", 1), ("cc", 1)]
+    plain = PlainKneserNey(rows)
+    contexts = {g[:-1][-n:] for own in plain.own[5] for g in own for n in range(1, 5)} | {"zz", "abca"}
+    for context in contexts:
+        for toxic in (0, 1):
+            assert abs(sum(plain.p(toxic, context, x) for x in [*plain.letters, "?"]) - 1) < 1e-12
+    scratch = toxicity.Scratch(spark, "test")
+    grams = scratch.save(toxicity.gram_counts(spark.createDataFrame(rows, "text string, toxic int").withColumn("held", F.lit(False))), "grams")
+    assert {r.gram: (r.n0, r.n1) for r in grams.collect()} == {g: (plain.own[5][0][g], plain.own[5][1][g]) for g in set(plain.own[5][0]) | set(plain.own[5][1])}
+    full = {c + x for c in contexts if len(c) == 4 for x in [*plain.letters, "?"]}
+    got = {r.gram: r.own for r in toxicity.gram_evidence(spark.createDataFrame([(g,) for g in full], "gram string"), grams, scratch).collect()}
+    assert len(got) == len(full) and all(abs(got[g] - plain.ratio(g)) < 1e-9 for g in full)
 
 
 def test_no_gram_is_dropped(spark):
-    """Tables of all orders give the evidence that one model of all counts gives, rare words included."""
+    """Words' evidence is what the models by their definition give, rare words included."""
     rng = random.Random(5)
     rows = [(invented(rng, "xx", 12) + f" w{i}q{i * 7}", int(i % 3 == 0)) for i in range(150)]
     scratch = toxicity.Scratch(spark, "test")
     grams = scratch.save(toxicity.gram_counts(spark.createDataFrame(rows, "text string, toxic int").withColumn("held", F.lit(False))), "grams")
-    frame = grams.select("gram", "n0", "n1").toPandas()
+    plain = PlainKneserNey(rows)
     words = sorted({w for t, _ in rows for w in toxicity.words_of(t)} | {"zzz", "bakuz", "é" * 9})
-    assert set(frame["gram"]) == {p[i : i + 5] for t, _ in rows for w in toxicity.words_of(t) for p in ["\x02" * 4 + w + "\x03"] for i in range(len(w) + 1)}
-    expected = dict(zip(words, toxicity.Model(*toxicity.fit_ratios(frame), np.zeros(4), 0.0).evidence(words), strict=True))
+    padded = {w: "\x02" * 4 + w + "\x03" for w in words}
+    expected = {w: sum(plain.ratio(p[i : i + 5]) for i in range(len(w) + 1)) for w, p in padded.items() if w in words[::9] + ["zzz", "bakuz", "é" * 9]}
     wanted = toxicity.different_grams(words)
     value = {r.gram: r.own for r in toxicity.gram_evidence(spark.createDataFrame([(g,) for g in wanted], "gram string"), grams, scratch).collect()}
     got = dict(zip(words, toxicity.word_sums(words, np.array([value[g] for g in wanted])), strict=True))
-    assert len(value) == len(wanted) and all(abs(got[w] - expected[w]) < 1e-9 for w in words)
+    assert len(value) == len(wanted) and all(abs(got[w] - x) < 1e-9 for w, x in expected.items())
+
+
+def test_scores_compare_the_strongest_words(spark):
+    """Scores rise with the ratio per character of the strongest different words, computed by definition."""
+    rng = random.Random(8)
+    rows = [(i, invented(rng, "xx", 20) + (" grutz morv" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(80)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    texts = ["baku lo grutz", "baku", "", None, "grutz grutz morv", "lolo kuba baba kulo loba zz9", "morv " + "baku " * 50, "grutzlo"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = PlainKneserNey([(t, y) for _, t, y in rows])
+
+    def ratio(text):
+        found = []
+        for w in set(toxicity.words_of(text)):
+            p = "\x02" * 4 + w + "\x03"
+            found.append((sum(plain.ratio(p[i : i + 5]) for i in range(len(w) + 1)), len(w) + 1))
+        top = sorted(found, key=lambda f: (-f[0], f[1]))[: toxicity.STRONGEST]
+        return sum(f[0] for f in top) / sum(f[1] for f in top) if top else 0.0
+
+    # Nothing calibrates, so the score is the logistic function of the ratio.
+    got = {r.doc_id: r._score for r in toxicity.toxicity_scores(docs, labelled, F.lit(False)).collect()}
+    assert all(abs(got[i] - 1 / (1 + math.exp(-ratio(t)))) < 1e-6 for i, t in enumerate(texts))
+
+
+def test_labels_that_disagree_are_toxic(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(2, 1), (2, 0), (3, None), (None, 1), (900, 1), (5, 7)], "doc_id int, toxic int")
+    got = {r.doc_id: r.toxic for r in labelled_documents(docs, labels).collect()}
+    assert got == {i: 1 if i == 2 else i % 2 for i in range(30) if zlib.crc32(str(i).encode()) % 5}
 
 
 def test_calibration_rows_are_counted(spark):

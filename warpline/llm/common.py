@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +29,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Column names like ``names`` that no column in ``taken`` has, whatever the case of its letters."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        new, n = f"_w_{name}", 0
+        while new.lower() in used:
+            new, n = f"_w{n}_{name}", n + 1
+        used.add(new.lower())
+        out.append(new)
+    return out
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage and to be read more than once.
 

@@ -2,17 +2,19 @@
 
 Two models of the characters of a word, one of toxic and one of ordinary texts, share their vocabulary
 and what they back off to: orders 5 to 3 are the class's own (raw counts at the top, counts of
-different left contexts below), order 2 and below pool both classes. A word's evidence is the
-difference of its log-likelihoods; a text is scored by the length-normalised difference over all its words and by
-its strongest words, as a few expressions can make a long text toxic.
+different left contexts below), order 2 and below pool both classes, so that an expression rare in
+one class falls back on counts of both. Every occurrence of a word counts. A word's evidence is the
+difference of its two log-likelihoods. A few expressions make a long text toxic, so a text is judged by its
+``STRONGEST`` most telling different words: their toxic and ordinary log-likelihoods are
+summed and compared per character. The score is the logistic function of that one number, scaled and shifted as fits
+``CALIBRATION_ROWS`` training rows (a share of the rows by a hash of their ids, two hundredths below
+that bound). Texts are scored by models that count every training row, these too; the rows of the
+calibration are measured by models that leave them out.
 
 No n-gram is dropped. The counts, every order of the models and the evidence of the different n-grams to be scored are
 tables, made by aggregations that combine before the shuffle and by equi-joins; nothing of them is
 collected or sent to all machines by hand. Texts become numbered words of their batch (about 8 MB
-of text, or one text), and each batch meets the evidence of its own n-grams. The
-four numbers per text are calibrated by a logistic regression on ``CALIBRATION_ROWS`` training rows (a share of
-the rows by a hash of their ids, two hundredths below that bound). Texts are scored by models that count
-every training row, these too; the rows of the regression are measured by models that leave them out.
+of text, or one text), and each batch meets the evidence of its own n-grams.
 """
 
 from __future__ import annotations
@@ -22,18 +24,16 @@ import secrets
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warpline.llm.common import Scratch, text_batches
+from warpline.llm.common import Scratch, fresh, text_batches
 
-ORDER, SHARED, DISCOUNT, CALIBRATION_ROWS, STRONGEST = 5, 2, 0.75, 20_000, 3
+ORDER, SHARED, DISCOUNT, CALIBRATION_ROWS, STRONGEST = 5, 2, 0.75, 20_000, 4
 #: The models, each by its columns of ordinary and toxic counts: of all rows, and of those that do not calibrate.
 MODELS = {"own": ("n0", "n1"), "apart": ("m0", "m1")}
 _COUNTS = [c for pair in MODELS.values() for c in pair]
@@ -50,7 +50,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic, held) to (word, toxic, held, texts with it), summed as far as memory allows."""
+    """(text, toxic, held) to (word, toxic, held, occurrences), summed as far as memory allows."""
     counts = {(toxic, held): Counter() for toxic in (0, 1) for held in (False, True)}
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -61,7 +61,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in text_batches(batches):
         for text, *kind in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            counts[tuple(kind)].update(set(words_of(text)))
+            counts[tuple(kind)].update(words_of(text))
         if sum(map(len, counts.values())) > 200_000:
             yield from out()
     yield from out()
@@ -87,7 +87,13 @@ def _ratios(of: str) -> list[Column]:
 
 
 def ratio_tables(grams: DataFrame, scratch: Scratch) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
-    """What ``fit_ratios`` gives, as tables by order: (gram, a log ratio for each model) and (context, the same of the back-off weights)."""
+    """Tables by order: (gram, a log ratio for each model) and (context, the same of the back-off weights).
+
+    p_c(x | h) = max(c_c(hx) - D, 0) / c_c(h) + D * types_c(h) / c_c(h) * p_c(x | shorter h), and p_c(x | shorter h) alone
+    where the class has not seen h. At the top order c_c counts occurrences, below it the different characters to
+    the left in that class. Orders up to ``SHARED`` are the same for both classes: the different characters to the left in
+    either, and at the last order one more for every character, known or not.
+    """
     levels = {ORDER: grams}
     for n in range(ORDER - 1, 0, -1):
         seen = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in _COUNTS]
@@ -170,138 +176,73 @@ def word_sums(words: list[str], values: np.ndarray) -> np.ndarray:
     return np.bincount(owner, weights=values[which], minlength=len(words))
 
 
-@dataclass
-class Model:
-    """By order: sorted hashes of n-grams with the log ratio of the two likelihoods, and of contexts with that of the back-off weights."""
-
-    grams: dict[int, tuple[np.ndarray, np.ndarray]]
-    contexts: dict[int, tuple[np.ndarray, np.ndarray]]
-    weights: np.ndarray
-    bias: float
-
-    def evidence(self, words: list[str]) -> list[float]:
-        """log p(word | toxic) - log p(word | ordinary) for each word."""
-        if not words:
-            return []
-        codes, owner, ends = _windows(words)
-        total, todo = np.zeros(len(ends)), np.arange(len(ends))
-        for n in range(ORDER, SHARED, -1):
-            keys, values = self.grams[n]
-            h = _hashes(codes, ends[todo], n)
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            hit = keys[at] == h if len(keys) else np.zeros(len(h), dtype=bool)
-            total[todo[hit]] += values[at[hit]] if len(keys) else 0
-            todo = todo[~hit]
-            keys, values = self.contexts[n]
-            if len(todo) and len(keys):
-                h = _hashes(codes, ends[todo] - 1, n - 1)
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                total[todo] += np.where(keys[at] == h, values[at], 0)
-        return np.bincount(owner, weights=total, minlength=len(words)).tolist()
-
-
-def fit_ratios(table: pd.DataFrame) -> tuple[dict, dict]:
-    """Kneser-Ney log ratios from (gram, n0, n1) with grams of ``ORDER`` characters.
-
-    p_c(x | h) = max(c(hx) - D, 0) / c(h) + D * types(h) / c(h) * p_c(x | shorter h); below the top order
-    a count is the number of different characters to the left in that class. Orders up to ``SHARED`` are
-    the same for both classes: relative left-context counts of the pool, smoothed evenly.
-    """
-    levels = {ORDER: table.assign(gram=table["gram"].astype(str))}
-    for n in range(ORDER - 1, 0, -1):
-        up = levels[n + 1]
-        own = pd.DataFrame({"gram": up["gram"].str[1:], "n0": (up["n0"] > 0).astype(float), "n1": (up["n1"] > 0).astype(float), "pool": 1.0})
-        levels[n] = own.groupby("gram", as_index=False, sort=True).sum()
-    pool = levels[1].set_index("gram")["pool"]
-    shared = (pool + 1) / (pool.sum() + len(pool) + 1)
-    two = levels[2].assign(context=levels[2]["gram"].str[:1], last=levels[2]["gram"].str[1:])
-    of = two.groupby("context")["pool"].transform("sum")
-    types = two.groupby("context")["pool"].transform("size")
-    below = (np.maximum(two["pool"] - DISCOUNT, 0) / of + DISCOUNT * types / of * two["last"].map(shared)).to_numpy()
-    p_low = {c: pd.Series(below, index=two["gram"].to_numpy()) for c in (0, 1)}
-    grams, contexts = {}, {}
-    for n in range(SHARED + 1, ORDER + 1):
-        level = levels[n].assign(context=levels[n]["gram"].str[:-1], low=levels[n]["gram"].str[1:])
-        p, back = {}, {}
-        for c in (0, 1):
-            count = level[f"n{c}"]
-            of = count.groupby(level["context"]).transform("sum")
-            types = (count > 0).groupby(level["context"]).transform("sum")
-            weight = np.where(of > 0, DISCOUNT * types / np.maximum(of, 1), 1.0)
-            low = level["low"].map(p_low[c]).to_numpy()
-            p[c] = np.where(of > 0, np.maximum(count - DISCOUNT, 0) / np.maximum(of, 1), 0.0) + weight * low
-            back[c] = pd.Series(weight, index=level["context"].to_numpy()).groupby(level=0).first()
-            p_low[c] = pd.Series(p[c], index=level["gram"].to_numpy())
-        for store, names, ratio in ((grams, level["gram"].tolist(), np.log(p[1]) - np.log(p[0])), (contexts, back[0].index.tolist(), np.log(back[1].to_numpy()) - np.log(back[0].to_numpy()))):
-            codes, starts = _codes(names)
-            width = n if store is grams else n - 1
-            keys = _hashes(codes, starts + width - 1, width)
-            order = np.argsort(keys)
-            store[n] = (keys[order], np.asarray(ratio, dtype=np.float64)[order])
-    return grams, contexts
-
-
-_SPELT = "batch bigint, k1 bigint, k2 bigint, toxic int, at binary, n binary, words binary, grams array<string>"
+_SPELT = "batch bigint, k1 bigint, k2 bigint, toxic int, at binary, words binary, grams array<string>"
 BATCH_BYTES = 8 << 20
 
 
 def _number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, toxic, text) to the numbers and counts of a text's words, and one row with the words of the batch in the order of their numbers, and their n-grams."""
+    """(k1, k2, toxic, text) to the numbers of a text's different words, and one row with the words of the batch in the order of their numbers, and their n-grams."""
     for batch in text_batches(batches, BATCH_BYTES):
         numbers: dict[str, int] = {}
-        at, n = [], []
+        at = []
         for text in batch.column(3).to_pylist():
-            counts = Counter(words_of(text))
-            own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in counts), np.int32, len(counts))
-            order = np.argsort(own)
-            at.append(zlib.compress(np.diff(own[order], prepend=np.int32(0)).tobytes(), 1))
-            n.append(zlib.compress(np.fromiter(counts.values(), np.int32, len(counts))[order].tobytes(), 1))
+            different = set(words_of(text))
+            own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in different), np.int32, len(different))
+            own.sort()
+            at.append(zlib.compress(np.diff(own, prepend=np.int32(0)).tobytes(), 1))
         size = batch.num_rows
         words = list(numbers)
+        # Labelled and other texts come in partitions of their own, so a batch is measured by one model.
+        kind = batch.column(2)
         columns = [
             pa.array([secrets.randbits(63)] * (size + 1), pa.int64()),
-            *[pa.concat_arrays([batch.column(i), pa.nulls(1, batch.column(i).type)]) for i in range(3)],
-            pa.array([*at, None], pa.binary()), pa.array([*n, None], pa.binary()),
+            *[pa.concat_arrays([batch.column(i), pa.nulls(1, batch.column(i).type)]) for i in range(2)],
+            pa.concat_arrays([kind, kind.slice(0, 1)]),
+            pa.array([*at, None], pa.binary()),
             pa.array([*[None] * size, zlib.compress(" ".join(words).encode(), 1)], pa.binary()), pa.array([*[None] * size, different_grams(words)], pa.list_(pa.string())),
         ]
-        yield pa.RecordBatch.from_arrays(columns, names=["batch", "k1", "k2", "toxic", "at", "n", "words", "grams"])
+        yield pa.RecordBatch.from_arrays(columns, names=["batch", "k1", "k2", "toxic", "at", "words", "grams"])
 
 
-def _features(at: np.ndarray, n: np.ndarray, evidence: np.ndarray) -> list[float]:
-    """Evidence per word, and the strongest different words' evidence, weakest last."""
-    out = [0.0] * (1 + STRONGEST)
-    if len(at):
-        values = evidence[at]
-        out[0] = float(values @ n) / float(n.sum())
-        top = np.sort(np.maximum(values, 0))[::-1][:STRONGEST]
-        out[1 : 1 + len(top)] = top.tolist()
-    return out
+def strongest_ratio(evidence: np.ndarray, lengths: np.ndarray) -> float:
+    """Of the ``STRONGEST`` words with most evidence (of equals the shorter): toxic less ordinary log-likelihood per character, word ends included."""
+    if not len(evidence):
+        return 0.0
+    if len(evidence) > STRONGEST:
+        least = np.partition(evidence, len(evidence) - STRONGEST)[len(evidence) - STRONGEST]
+        near = evidence >= least
+        evidence, lengths = evidence[near], lengths[near]
+    top = np.lexsort((lengths, -evidence))[:STRONGEST]
+    return float(evidence[top].sum() / lengths[top].sum())
+
 
+def text_ratios(texts: DataFrame, grams: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k1, k2, toxic, x) for rows (k1, k2, toxic, text); those with a label are measured by the last of ``MODELS``, the others by the first.
 
-def text_features(texts: DataFrame, grams: DataFrame, scratch: Scratch) -> DataFrame:
-    """(k1, k2, toxic, x0, x1, ...) for rows (k1, k2, toxic, text); those with a label are measured by the last of ``MODELS``, the others by the first."""
+    Labelled rows and others must not share a partition, as the two sides of a union do not.
+    """
     spelt = scratch.save(texts.select("k1", "k2", "toxic", "text").mapInArrow(_number_words, _SPELT), "spelt")
-    wanted = spelt.where("grams is not null").select(F.col("batch").alias("known"), F.posexplode("grams").alias("i", "gram"))
+    wanted = spelt.where("grams is not null").select(F.col("batch").alias("known"), F.col("toxic").isNotNull().alias("apart"), F.posexplode("grams").alias("i", "gram"))
     evidence = scratch.save(gram_evidence(wanted.select("gram").distinct(), grams, scratch), "evidence")
-    valued = wanted.join(evidence, "gram").select("known", "i", *MODELS)
     first, last = list(MODELS)[0], list(MODELS)[-1]
-    names = ["k1", "k2", "toxic", *[f"x{i}" for i in range(1 + STRONGEST)]]
-
-    def unpack(blob: bytes) -> np.ndarray:
-        return np.frombuffer(zlib.decompress(blob), dtype=np.int32)
+    # One row per batch before the shuffle: both lists are gathered from the same rows in the same order.
+    valued = wanted.join(evidence.select("gram", F.col(first).alias("by_first"), F.col(last).alias("by_last")), "gram")
+    valued = valued.select("known", "i", F.when(F.col("apart"), F.col("by_last")).otherwise(F.col("by_first")).cast("float").alias("value"))
+    valued = valued.groupBy("known").agg(F.collect_list("i").alias("i"), F.collect_list("value").alias("value"))
 
     def measure(rows: pa.Table, known: pa.Table) -> pa.Table:
         texts = rows.filter(pc.is_null(rows.column("words")))
         words = zlib.decompress(rows.column("words").drop_null()[0].as_py()).decode().split()
-        order = np.argsort(known.column("i").to_numpy())
-        toxic = texts.column("toxic").to_pylist()
-        needed = {last if t is not None else first for t in toxic}
-        values = {m: word_sums(words, known.column(m).to_numpy()[order]) for m in needed}
-        x = [_features(np.cumsum(unpack(a)), unpack(n), values[first if t is None else last]) for a, n, t in zip(texts.column("at").to_pylist(), texts.column("n").to_pylist(), toxic, strict=True)]
-        return pa.table([*[texts.column(c) for c in names[:3]], *[pa.array([r[i] for r in x], pa.float64()) for i in range(1 + STRONGEST)]], names=names)
+        at = [pc.list_flatten(known.column(c)).to_numpy() for c in ("i", "value")]
+        values = np.zeros(len(at[0]))
+        values[at[0]] = at[1]
+        evidence = word_sums(words, values)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        own = (np.cumsum(np.frombuffer(zlib.decompress(blob), dtype=np.int32)) for blob in texts.column("at").to_pylist())
+        x = [strongest_ratio(evidence[a], lengths[a]) for a in own]
+        return pa.table([*[texts.column(c) for c in ("k1", "k2", "toxic")], pa.array(x, pa.float64())], names=["k1", "k2", "toxic", "x"])
 
-    kinds = "k1 bigint, k2 bigint, toxic int, " + ", ".join(f"{x} double" for x in names[3:])
-    return spelt.drop("grams").groupBy("batch").cogroup(valued.groupBy("known")).applyInArrow(measure, kinds)
+    return spelt.drop("grams").groupBy("batch").cogroup(valued.groupBy("known")).applyInArrow(measure, "k1 bigint, k2 bigint, toxic int, x double")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
@@ -318,14 +259,18 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2
     return w[:-1], float(w[-1])
 
 
-def toxicity_scores(docs: DataFrame, labelled: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text..., score): ``docs`` with a score from 0 to 1 for every whole text.
+def toxicity_scores(docs: DataFrame, labelled: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text", score_col: str = "_score") -> DataFrame:
+    """``docs`` with a score from 0 to 1 for every whole text in ``score_col``, which must not be a column of ``docs``.
 
     ``labelled`` has doc_id, text and toxic, 1 or 0; other labels are left out. All its rows are counted;
-    the calibration takes its rows where ``fold`` is true. Null and empty texts
-    have no evidence and get the score of that. Without training rows of both classes the score is 0
-    throughout. Null ids and repeated rows stay; all columns of ``docs`` are passed through.
+    the calibration takes its rows where ``fold`` is true, and without rows of both classes there the
+    score is the logistic function of the ratio as it is. Null and empty texts have no evidence, a
+    ratio of 0, and get the score of that. Without training rows of both classes the score is 0
+    throughout. Null ids and repeated rows stay, equal texts have equal scores, an empty table gives an empty result; all columns of ``docs`` are passed through,
+    whatever their names.
     """
+    if score_col in docs.columns:
+        raise ValueError(f"the table has a column {score_col}")
     scratch = Scratch(docs.sparkSession, "toxicity")
     rows = labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.coalesce(fold, F.lit(False)).alias("fold"))
     share = CALIBRATION_ROWS / max(rows.where("fold").count(), 1)
@@ -334,23 +279,20 @@ def toxicity_scores(docs: DataFrame, labelled: DataFrame, fold: Column, id_col:
     grams = scratch.save(gram_counts(rows), "grams")
     plain, toxic = grams.agg(F.sum("n0"), F.sum("n1")).first()
     if not plain or not toxic:
-        return docs.withColumn("_score", F.lit(0.0))
+        return docs.withColumn(score_col, F.lit(0.0))
 
     # Texts are known by 128 bits, so that what is computed about them never carries them.
     def keys(column: str) -> list[Column]:
         return [F.xxhash64(F.lit(s), F.col(column)).alias(f"k{s}") for s in (1, 2)]
 
     texts = docs.select(*keys(text_col), F.lit(None).cast("int").alias("toxic"), F.col(text_col).alias("text")).unionByName(rows.where("held").select(*keys("text"), "toxic", "text"))
-    measured = scratch.save(text_features(texts, grams, scratch), "features")
-    xs = [f"x{i}" for i in range(1 + STRONGEST)]
-    sample = measured.where("toxic is not null").select("toxic", *xs).toPandas()
-    if sample["toxic"].nunique() < 2:
-        weights, bias = np.array([0.0, 1.0, 0.5, 0.0]), -6.0
-    else:
-        weights, bias = logistic(sample[xs].to_numpy(), sample["toxic"].to_numpy(dtype=float))
-    sums = sum((F.col(x) * float(w) for x, w in zip(xs, weights, strict=True)), F.lit(float(bias)))
-    score = 1 / (1 + F.exp(-F.greatest(F.least(sums, F.lit(30.0)), F.lit(-30.0))))
-    scores = measured.where("toxic is null").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), score.alias("_score")).groupBy("_k1", "_k2").agg(F.first("_score").alias("_score"))
-    k1, k2 = keys(text_col)
-    keyed = docs.select("*", k1.alias("_t1"), k2.alias("_t2"))
-    return keyed.join(scores, (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2")), "left").select(*docs.columns, "_score")
+    measured = scratch.save(text_ratios(texts, grams, scratch), "ratios")
+    sample = measured.where("toxic is not null").select("toxic", "x").toPandas()
+    slope, bias = 1.0, 0.0
+    if sample["toxic"].nunique() == 2:
+        (slope,), bias = logistic(sample[["x"]].to_numpy(), sample["toxic"].to_numpy(dtype=float))
+    score = 1 / (1 + F.exp(-F.greatest(F.least(F.col("x") * float(slope) + float(bias), F.lit(30.0)), F.lit(-30.0))))
+    k1, k2, t1, t2 = fresh(docs.columns + [score_col], "k1", "k2", "t1", "t2")
+    scores = measured.where("toxic is null").select(F.col("k1").alias(k1), F.col("k2").alias(k2), score.alias(score_col)).groupBy(k1, k2).agg(F.first(score_col).alias(score_col))
+    keyed = docs.select("*", *[key.alias(name) for key, name in zip(keys(text_col), (t1, t2), strict=True)])
+    return keyed.join(scores, (F.col(t1) == F.col(k1)) & (F.col(t2) == F.col(k2)), "left").select(*docs.columns, score_col)
