@@ -103,7 +103,7 @@ def test_weak_parts_need_complements():
 
 
 def plain_runs(docs, least):
-    """Lines of each document that lie in a run of ``least`` words with an earlier copy; documents in order of ids."""
+    """Lines of each document that lie in a run of ``least`` words with an earlier copy, but those of that copy itself; documents in order of ids."""
     seq = {i: [(k, x.strip("\t\x0b\x0c\r "), len(WORD.findall(x))) for k, x in enumerate((t or "").split("\n")) if WORD.search(x)] for i, t in docs}
     first, gone = {}, defaultdict(set)
     for i in sorted(seq):
@@ -114,8 +114,9 @@ def plain_runs(docs, least):
                 total += s[b][2]
                 if total >= least:
                     key = tuple(x[1] for x in s[a : b + 1])
-                    if first.setdefault(key, (i, a)) < (i, a):
-                        gone[i].update(range(s[a][0], s[b][0] + 1))
+                    j, c, d = first.setdefault(key, (i, a, b))
+                    if (j, c) < (i, a):
+                        gone[i].update(range(s[max(a, d + 1) if i == j else a][0], s[b][0] + 1))
     return gone
 
 
@@ -140,14 +141,40 @@ def test_line_runs(spark, least):
         assert sum(x.hi - x.lo + 1 for x in r._runs) == r._n_removed <= len(gone[r.doc_id])
 
 
+def test_first_copies_stay(spark):
+    """Of twenty equal lines of ten words the first five stay; in a period of two lines the first run does."""
+    ten, other = "a b c d e f g h i j", "k l m n o p q r s t"
+    docs = [(1, "\n".join([ten] * 20)), (2, "\n".join([other, "u v w x y z u v w x"] * 10)), (3, "new\n" + "\n".join([ten] * 6)), (4, "\n".join([ten] * 4))]
+    got = {r.doc_id: r for r in line_dedup.deduplicate_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1].text == "\n".join([ten] * 5) and [tuple(x) for x in got[1]._runs] == [(5, 19)]
+    assert got[2].text == "\n".join(docs[1][1].split("\n")[:5]) and got[3].text == "new" and got[4].text == docs[3][1]
+
+
+def test_ranks_follow_the_suffixes(spark):
+    """A suffix array: at every level ranks order the repeated prefixes of suffixes like their line ids, and are equal where they are."""
+    rng = random.Random(12)
+    docs = [(i, "\n".join(rng.choice("ab") for _ in range(rng.randint(5, 30)))) for i in range(40)]
+    scratch = line_dedup.Scratch(spark, "test")
+    texts = scratch.save(line_dedup._texts(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text"), "texts")
+    ids = {(r.t1, r.t2): [(x.a, x.b) for x in r.lines] for r in texts.collect()}
+    suffixes = line_dedup._suffixes(texts, 5, scratch)
+    ranks = line_dedup.suffix_ranks(suffixes, 8, scratch).collect()
+    assert {r.k for r in ranks} == {0, 1, 2, 3}
+    for k in range(4):
+        own = [(r.r, ids[r.t1, r.t2][r.pos : r.pos + 2**k]) for r in ranks if r.k == k]
+        assert all(len(x) == 2**k for _, x in own)
+        pairs = sorted({(rank, tuple(x)) for rank, x in own})
+        assert len({rank for rank, _ in pairs}) == len(pairs) == len({x for _, x in pairs}) and [x for _, x in pairs] == sorted(x for _, x in pairs)
+        times = Counter(tuple(s[i : i + 2**k]) for s in ids.values() for i in range(len(s) - 2**k + 1))
+        assert {x for _, x in pairs} <= {x for x, n in times.items() if n > 1}
+
+
 def test_whole_copies_and_odd_rows(spark):
     long = "w " * 60
     rows = [(3, long), (2, long), (2, long), (None, long), (4, "short text"), (5, "short text"), (6, None), (7, ""), (8, "before\n\n" + long + "\nafter"), (None, "only here")]
     got = line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    kept = sorted((str(r.doc_id), r.text) for r in got)
-    assert kept == sorted([("3", ""), ("2", long), ("2", long), ("None", ""), ("4", "short text"), ("5", "short text"), ("6", None), ("7", ""), ("8", "before\n\nafter"), ("None", "only here")], key=str) or sorted(map(str, kept)) == sorted(
-        map(str, [("3", ""), ("2", long), ("2", long), ("None", ""), ("4", "short text"), ("5", "short text"), ("6", None), ("7", ""), ("8", "before\n\nafter"), ("None", "only here")])
-    )
+    expected = [(3, ""), (2, long), (2, long), (None, ""), (4, "short text"), (5, "short text"), (6, None), (7, ""), (8, "before\n\nafter"), (None, "only here")]
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(expected)
     assert line_dedup.deduplicate_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
@@ -180,11 +207,25 @@ def test_mixing(spark, rows_per_range, monkeypatch):
         sizes[s] += len(WORD.findall(t or ""))
     target = plain_targets(sizes)
     assert sorted((str(r.doc_id), r.size) for r in got) == sorted((str(i), len(WORD.findall(t or ""))) for i, t, _ in rows)
-    by = {(str(i), len(WORD.findall(t or ""))): s for i, t, s in rows}
-    taken = Counter()
-    for r in got:
-        assert r.target == pytest.approx(target[by[str(r.doc_id), r.size]]) or r.size <= 3
-        assert 0 <= r.taken <= 3 * r.size
+    # Each source's documents in order of their keys, whole epochs first; documents of one key share what is left.
+    expected = []
+    for source in sizes:
+        own = defaultdict(list)
+        for i, t, s in rows:
+            if s == source:
+                own[hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()].append((i, len(WORD.findall(t or ""))))
+        epochs = int(round(target[source]) // sizes[source]) if sizes[source] else 0
+        left = round(target[source]) - epochs * sizes[source]
+        for key in sorted(own):
+            whole = sum(n for _, n in own[key])
+            share = None if left >= whole else left // len(own[key])
+            expected += [(i, n, sizes[source], epochs * n + (n if share is None else min(share, n))) for i, n in own[key]]
+            left = left - whole if share is None else 0
+    assert Counter((r.doc_id, r.size, r.source_size, r.taken) for r in got) == Counter(expected)
+    by_size = defaultdict(set)
+    for source in sizes:
+        by_size[sizes[source]].add(round(target[source], 6))
+    assert all(round(r.target, 6) in by_size[r.source_size] for r in got)
     assert sum(r.taken for r in got) == pytest.approx(sum(sizes.values()), abs=len(sizes) + 2)
     again = mixing.mix_sources(docs.repartition(3)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
@@ -192,7 +233,6 @@ def test_mixing(spark, rows_per_range, monkeypatch):
     assert mixed.columns == docs.columns
     words = mixed.select(F.sum(mixing.word_count("text"))).first()[0]
     assert words == sum(r.taken for r in got)
-    del taken
     assert mixing.mix_sources(docs.limit(0)).collect() == [] and mixing.mixed_documents(docs.limit(0)).collect() == []
 
 

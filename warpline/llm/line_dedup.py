@@ -1,32 +1,31 @@
-"""Repeated line runs by prefix doubling over line-id sequences, with DataFrame functions only.
+"""Repeated line runs by a suffix array over line-id sequences, with DataFrame functions only.
 
 A text is the sequence of its lines that are not blank; a line's id is a 128-bit hash of the line
-without the white space around it. Round k of prefix doubling gives every suffix the rank of its
-first 2**k lines, from the ranks of round k - 1 at the suffix and 2**(k-1) lines on. Ranks are
-hashes of the two former ranks: the suffix array is needed for its equal prefixes, not for their
-order, so no round sorts or shuffles the corpus.
+without the white space around it. The suffixes of all texts are sorted by distributed prefix
+doubling: round 0 sorts the ids, round k sorts the pairs of the ranks of round k - 1 at a suffix and 2**(k-1)
+lines on, so its ranks order the suffixes by their first 2**k lines. A sort is a range
+partitioning of the different pairs; a rank is a partition's number and the place in it. A prefix
+that occurs once has its place in the suffix array and can repeat no more, so it takes no part in
+later rounds, and a line that occurs once in none: what is sorted is what repeats.
 
 A run counts if it has at least ``MIN_WORDS`` words. The suffixes that share the lines up to there
-form an interval of the suffix array whose longest common prefix is that deep, and all of it but its
-first place is a later copy. An interval's key is made of the ranks of two prefixes of 2**k lines,
-the second ending where the run ends. The same is done with the runs that end at a line. Together
-they are all maximal repeated runs: a line of such a run lies in the shortest long-enough run from
-some line of it on, or in the one that ends at this line. A line that is not blank has a word, so
-runs and rounds are bounded by ``MIN_WORDS``.
+are an interval of the suffix array whose longest common prefix is that deep; it is known by the ranks of two
+prefixes of 2**k lines, the second ending where the run ends. All of it but its first place are later copies. The same is
+done with the runs that end at a line. Together they cover all maximal repeated runs: a line of such a run lies in the
+shortest long-enough run from some line of it on, or in the one that ends at this line. A line that
+is not blank has a word, so runs have at most ``MIN_WORDS`` lines, which bounds the rounds.
 
 Texts that are equal as a whole are one text before anything else, so a group of copies is one
-row; keys are counted by an aggregation that combines before the shuffle and joined back, and Spark
-can split the hot keys of that join.
+row; ids, pairs and intervals are counted by aggregations that combine before the shuffle and are joined back, and Spark
+can split the hot keys of those joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from warpline.llm.common import Scratch
+from warpline.llm.common import Scratch, fresh
 from warpline.llm.mixing import word_count
 
 MIN_WORDS = 50
@@ -48,58 +47,78 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.groupBy("t1", "t2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("lines").alias("lines"))
 
 
-def _reach(place: Column, step: int, least: int) -> Column:
-    """From ``place`` on, or backward, how many elements of ``w`` it takes to sum to ``least``; null if the text ends before.
+def sorted_ranks(rows: DataFrame, key: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """``rows`` whose ``key`` occurs more than once, with their key's rank among those in ``r`` in place of it.
 
-    Elements are looked up one by one, as a slice would copy the whole array each time.
+    Ranks rise with the keys and have gaps. They are written before they are read, so no retry can
+    change them.
     """
-    room = F.size("w") - place if step > 0 else place + 1
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum"))
-
-    def add(acc: Column, d: Column) -> Column:
-        more = F.struct((acc["n"] + 1).alias("n"), (acc["sum"] + F.get("w", place + d * step)).alias("sum"))
-        return F.when(acc["sum"] >= least, acc).otherwise(more)
-
-    return F.aggregate(F.sequence(F.lit(0), F.least(room, F.lit(least)) - 1), start, add, lambda acc: F.when(acc["sum"] >= least, acc["n"]))
-
-
-def _pairs(k: int) -> Callable[[Column, Column], Column]:
-    """The rank of 2**k lines from the ranks of the two halves; null beyond the text's end."""
-
-    def pair(x: Column, i: Column) -> Column:
-        other = F.get(f"r{k - 1}", i + (1 << (k - 1)))
-        return F.when(other["a"].isNotNull(), F.struct(F.xxhash64(x["a"], other["a"]).alias("a"), F.xxhash64(F.lit(k), x["b"], other["b"]).alias("b")))
-
-    return pair
-
-
-def _runs(texts: DataFrame, min_words: int) -> DataFrame:
-    """(t1, t2, first, at, lo, hi, key1, key2) for the shortest long-enough runs from and up to each line."""
-    rows = texts.where(F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["w"]) >= min_words)
-    levels = max(1, min_words.bit_length())
-    rows = rows.withColumn("r0", F.transform("lines", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
-    for k in range(1, levels):
-        rows = rows.withColumn(f"r{k}", F.transform(f"r{k - 1}", _pairs(k)))
-    rows = rows.withColumns({"ranks": F.array(*[F.col(f"r{k}") for k in range(levels)]), "w": F.transform("lines", lambda x: x["w"])})
-
-    # A run is one number, place and length, so that repeated ones are found by hashing.
-    base = min_words + 1
-    ahead = F.transform("w", lambda w, i: i.cast("long") * base + _reach(i, 1, min_words))
-    behind = F.transform("w", lambda w, i: (i - _reach(i, -1, min_words) + 1).cast("long") * base + _reach(i, -1, min_words))
-    found = F.array_distinct(F.filter(F.concat(ahead, behind), lambda x: x.isNotNull()))
-
-    def keyed(run: Column) -> Column:
-        """The run with its key, made where the ranks are, so that no row but the text's carries them."""
-        at, n = F.floor(run / base).cast("int"), (run % base).cast("int")
-        k = F.length(F.bin(n)) - 1
-        back = at + n - F.pow(F.lit(2), k).cast("int")
-        one, two = F.get(F.get("ranks", k), at), F.get(F.get("ranks", k), back)
-        return F.struct(
-            at.alias("at"), F.get("lines", at)["line"].alias("lo"), F.get("lines", at + n - 1)["line"].alias("hi"),
-            F.xxhash64(n, one["a"], two["a"]).alias("key1"), F.xxhash64(F.lit(2), n, one["b"], two["b"]).alias("key2"),
-        )
-
-    return rows.select("t1", "t2", "first", F.explode(F.transform(found, keyed)).alias("run")).select("t1", "t2", "first", "run.*")
+    repeated = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    ranked = repeated.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("r", F.monotonically_increasing_id())
+    return rows.join(scratch.save(ranked, f"ranks-{name}"), key).drop(*key)
+
+
+def _suffixes(texts: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """(t1, t2, first, pos, line, w, island, r): lines that occur more than once, of stretches of such lines with ``min_words`` words."""
+    long = texts.where(F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["w"]) >= min_words)
+    rows = long.select("t1", "t2", "first", F.posexplode("lines").alias("pos", "x")).select("t1", "t2", "first", "pos", "x.line", "x.w", "x.a", "x.b")
+    found = sorted_ranks(rows, ["a", "b"], scratch, "0")
+    within = F.row_number().over(Window.partitionBy("t1", "t2").orderBy("pos"))
+    found = found.withColumn("island", F.col("pos") - within)
+    words = F.sum("w").over(Window.partitionBy("t1", "t2", "island"))
+    return scratch.save(found.withColumn("words", words).where(F.col("words") >= min_words).drop("words"), "suffixes")
+
+
+def suffix_ranks(suffixes: DataFrame, longest: int, scratch: Scratch) -> DataFrame:
+    """(t1, t2, pos, k, r): the rank of the first 2**k lines of each suffix, where they repeat, up to ``longest`` lines."""
+    level = suffixes.select("t1", "t2", "pos", "r")
+    levels, k = [level.withColumn("k", F.lit(0))], 0
+    while 2 ** (k + 1) <= longest:
+        ahead = level.select("t1", "t2", (F.col("pos") - 2**k).alias("pos"), F.col("r").alias("y"))
+        pairs = scratch.save(level.withColumnRenamed("r", "x").join(ahead, ["t1", "t2", "pos"]), f"pairs-{k + 1}")
+        level = scratch.save(sorted_ranks(pairs, ["x", "y"], scratch, str(k + 1)), f"level-{k + 1}")
+        k += 1
+        if level.isEmpty():
+            break
+        levels.append(level.withColumn("k", F.lit(k)))
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _windows(suffixes: DataFrame, min_words: int) -> DataFrame:
+    """(t1, t2, first, at, n, lo, hi): the shortest run of ``min_words`` words from each line on, and up to each line, ``n`` lines each."""
+    island = Window.partitionBy("t1", "t2", "island")
+    upto = F.sum("w").over(island.orderBy("pos")).cast("long")
+    rows = suffixes.withColumns({"end": upto, "begin": upto - F.col("w")})
+    # A line begins after fewer than min_words words of the run from here on, or ends before fewer of the run up to here.
+    ahead = island.orderBy("begin").rangeBetween(0, min_words - 1)
+    behind = island.orderBy("end").rangeBetween(1 - min_words, 0)
+    both = [
+        F.struct(F.sum("w").over(frame).alias("words"), F.min("pos").over(frame).alias("at"), F.count(F.lit(1)).over(frame).cast("int").alias("n"), F.min("line").over(frame).alias("lo"), F.max("line").over(frame).alias("hi"))
+        for frame in (ahead, behind)
+    ]
+    rows = rows.select("t1", "t2", "first", both[0].alias("ahead"), both[1].alias("behind"))
+    found = F.array_distinct(F.filter(F.array("ahead", "behind"), lambda x: x["words"] >= min_words))
+    return rows.select("t1", "t2", "first", F.explode(found).alias("run")).select("t1", "t2", "first", "run.at", "run.n", "run.lo", "run.hi").distinct()
+
+
+def later_copies(texts: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
+    """(t1, t2, lo, hi): the lines of the later copies of repeated runs, but those that the first copy has itself."""
+    suffixes = _suffixes(texts, min_words, scratch)
+    ranks = scratch.save(suffix_ranks(suffixes, min_words, scratch), "suffix-array")
+    k = F.length(F.bin("n")) - 1
+    windows = _windows(suffixes, min_words).withColumn("k", k).withColumn("back", F.col("at") + F.col("n") - F.pow(F.lit(2), F.col("k")).cast("int"))
+    one = ranks.select("t1", "t2", F.col("pos").alias("at"), "k", F.col("r").alias("r1"))
+    two = ranks.select("t1", "t2", F.col("pos").alias("back"), "k", F.col("r").alias("r2"))
+    runs = scratch.save(windows.join(one, ["t1", "t2", "at", "k"]).join(two, ["t1", "t2", "back", "k"]).drop("k", "back"), "runs")
+    interval = ["n", "r1", "r2"]
+    place = F.struct(F.col("first").isNull().alias("no_id"), "first", "t1", "t2", "at", "hi")
+    origins = runs.groupBy(*interval).agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("origin")).where("times > 1").drop("times")
+    later = runs.join(scratch.save(origins, "origins"), interval).where(F.col("at").isNotNull() & (place > F.col("origin")))
+    same = (F.col("t1") == F.col("origin.t1")) & (F.col("t2") == F.col("origin.t2"))
+    return later.select("t1", "t2", F.when(same, F.greatest(F.col("lo"), F.col("origin.hi") + 1)).otherwise(F.col("lo")).alias("lo"), "hi").where("lo <= hi")
 
 
 def _stretches(places: Column) -> Column:
@@ -112,12 +131,7 @@ def _stretches(places: Column) -> Column:
 def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(t1, t2, first, copied, runs) of the texts that have repeated runs or equal texts under other ids."""
     texts = scratch.save(_texts(docs, id_col, text_col), "texts")
-    runs = _runs(texts, min_words)
-    place = F.struct(F.col("first").isNull().alias("no_id"), "first", "t1", "t2", "at")
-    origins = runs.groupBy("key1", "key2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("origin")).where("times > 1").drop("times")
-    origins = scratch.save(origins, "origins")
-    later = runs.join(origins, ["key1", "key2"]).where(place > F.col("origin")).select("t1", "t2", "lo", "hi")
-    later = later.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    later = later_copies(texts, scratch, min_words).groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     gone = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["lo"], r["hi"])))))
     later = later.select("t1", "t2", gone.alias("gone")).select("t1", "t2", _stretches(F.col("gone")).alias("runs"))
     copied = F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["w"]) >= min_words
@@ -125,35 +139,43 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
     return scratch.save(joined.select("t1", "t2", "first", copied.alias("copied"), "runs"), "verdicts")
 
 
-def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the text without later copies of repeated line runs, and _n_lines, _n_removed, _runs.
+#: What ``deduplicate_lines`` adds: lines of the text, lines deleted, and the deleted stretches.
+ADDED = ("_n_lines", "_n_removed", "_runs")
+
+
+def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """``docs`` with the text without later copies of repeated line runs, and the columns ``added``: lines, deleted lines, stretches.
 
     A run of lines with ``min_words`` words or more that occurs again, in another text or further
     down the same one, stays where it comes first: at the smallest id, null ids last, and there
-    at the first place. Its later copies are deleted; a blank line goes with the shortest long-enough run around it. Lines are
-    compared without the white space around them. _runs lists the deleted lines as (lo, hi), from 0, both included.
+    at the first place. Its later copies are deleted; where a later copy overlaps the first, only the lines beyond the first go, so
+    of twenty equal lines of ten words five stay. A line that belongs to later copies of one run and the first copy of another goes, as it is kept
+    in the other place. A blank line goes with the shortest long-enough run around it. Lines are
+    compared without the white space around them. The stretches are (lo, hi), from 0, both included.
 
     Of rows with equal texts of that many words only those with the smallest id keep them; rows
     equal in id and text are alike and keep theirs. A null text stays null and has no lines. An
-    empty table gives an empty result. Other columns are passed through.
+    empty table gives an empty result. Other columns are passed through, whatever their names; one with a name in ``added`` gives way.
     """
     scratch = Scratch(docs.sparkSession, "lines")
+    docs = docs.drop(*[c for c in docs.columns if c in added and c not in (id_col, text_col)])
     verdicts = repeated_runs(docs, scratch, id_col, text_col, min_words)
-    verdicts = verdicts.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("first").alias("_first"), F.col("copied").alias("_copied"), F.col("runs").alias("_found"))
-    keys = [c.alias(f"_k{i}") for i, c in enumerate(_text_key(F.coalesce(F.col(text_col), F.lit(""))))]
+    t1, t2, first, copied, found, k0, k1, lines, runs, gone = fresh([*docs.columns, *added], "t1", "t2", "first", "copied", "found", "k0", "k1", "lines", "runs", "gone")
+    verdicts = verdicts.toDF(t1, t2, first, copied, found)
+    keys = [c.alias(name) for name, c in zip((k0, k1), _text_key(F.coalesce(F.col(text_col), F.lit(""))), strict=True)]
     rows = docs.select("*", *keys)
     # A merge join whatever the size, so that the plan does not change as verdicts outgrow a broadcast.
-    rows = rows.join(verdicts.hint("merge"), (F.col("_k0") == F.col("_t1")) & (F.col("_k1") == F.col("_t2")), "left")
-    rows = rows.withColumn("_lines", F.split(F.col(text_col), "\n"))
-    n = F.coalesce(F.size("_lines"), F.lit(0))
-    whole = F.array(F.struct(F.lit(0).alias("lo"), (F.size("_lines") - 1).alias("hi")))
-    copy = F.col("_copied") & ~F.col(id_col).eqNullSafe(F.col("_first"))
+    rows = rows.join(verdicts.hint("merge"), (F.col(k0) == F.col(t1)) & (F.col(k1) == F.col(t2)), "left")
+    rows = rows.withColumn(lines, F.split(F.col(text_col), "\n"))
+    n = F.coalesce(F.size(lines), F.lit(0))
+    whole = F.array(F.struct(F.lit(0).alias("lo"), (F.size(lines) - 1).alias("hi")))
+    copy = F.col(copied) & ~F.col(id_col).eqNullSafe(F.col(first))
     empty = F.expr("cast(array() as array<struct<lo:int,hi:int>>)")
-    rows = rows.withColumn("_runs", F.when(copy, whole).otherwise(F.coalesce("_found", empty)))
-    rows = rows.withColumn("_gone", F.flatten(F.transform("_runs", lambda r: F.sequence(r["lo"], r["hi"]))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.transform(left, lambda i: F.get("_lines", i))
-    text = F.when(F.size("_runs") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    removed = F.aggregate("_runs", F.lit(0), lambda s, r: s + r["hi"] - r["lo"] + 1)
-    out = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return rows.select(*out, F.when(F.col(text_col).isNull(), 0).otherwise(n).alias("_n_lines"), removed.alias("_n_removed"), F.col("_runs"))
+    rows = rows.withColumn(runs, F.when(copy, whole).otherwise(F.coalesce(found, empty)))
+    rows = rows.withColumn(gone, F.flatten(F.transform(runs, lambda r: F.sequence(r["lo"], r["hi"]))))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.transform(left, lambda i: F.get(lines, i))
+    text = F.when(F.size(runs) > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
+    removed = F.aggregate(runs, F.lit(0), lambda s, r: s + r["hi"] - r["lo"] + 1)
+    out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return rows.select(*out, F.when(F.col(text_col).isNull(), 0).otherwise(n).alias(added[0]), removed.alias(added[1]), F.col(runs).alias(added[2]))
