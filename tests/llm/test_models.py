@@ -217,6 +217,15 @@ def test_packing_round_trip(spark, texts):
     assert packing.pack_documents(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["smallint", "decimal(12,2)", "date", "binary", "string"])
+def test_ids_of_any_type_are_packed(spark, kind):
+    made = {"date": "date_add(date'2020-01-01', cast(id as int))", "binary": "cast(cast(id as string) as binary)"}.get(kind, f"cast(id as {kind})")
+    docs = spark.range(30).selectExpr(f"case when id = 3 then null else {made} end as doc_id", "repeat('word ', 20) as text")
+    got = packing.pack_documents(docs)
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(map(str, (r.doc_id for r in docs.collect())))
+
+
 def test_cuts_cost_least(monkeypatch):
     monkeypatch.setattr(packing, "SHORTEST", 1)
     rng = random.Random(4)

@@ -5,12 +5,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from warpline.llm import cover_tree, embedding_dedup, simhash_dedup
-from warpline.llm.common import Scratch, connected_components
+from warpline.llm import cover_tree, embedding_dedup, similar_texts, simhash_dedup
+from warpline.llm.common import Scratch, among, connected_components
 
 
 def groups(nodes, links):
@@ -77,13 +78,61 @@ def test_simhash_groups(spark):
 
 def test_one_of_each_group_keeps_one(spark):
     docs = spark.createDataFrame([(2, "a b c d e f g"), (1, "A b c d e f g"), (1, "A b c d e f g"), (5, "quite another text of words"), (None, "nobody knows the id"), (None, "nobody knows the id")], "doc_id long, text string")
-    got = sorted((str(r.doc_id), r.text) for r in simhash_dedup.one_of_each_group(docs).collect())
+    got = sorted((str(r.doc_id), r.text) for r in similar_texts.one_of_each_group(docs).collect())
     assert got == [("1", "A b c d e f g"), ("5", "quite another text of words"), ("None", "nobody knows the id")]
 
 
+def edited(rng, words, share):
+    words = list(words)
+    for k in range(len(words)):
+        if rng.random() < share:
+            words[k] = f"w{rng.randrange(5000)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_similar_groups_against_all_pairs(spark, block, monkeypatch):
+    """No group joins what all pairs do not, and nearly all pairs at 0.8 or more are found, however small the blocks are."""
+    monkeypatch.setattr(similar_texts, "BLOCK", block)
+    rng = random.Random(block)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(30, 300))]
+        texts += [edited(rng, words, rng.choice([0, 0.005, 0.01, 0.02, 0.05])) for _ in range(rng.randint(2, 25))]
+    texts += [texts[0].upper(), texts[0].replace(" ", "\n"), None, "", " ", "one two", "One  two", "x " * 3000]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, root int")
+    got = {r.id: r.group for r in similar_texts.similar_groups(docs).collect()}
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8]
+    truth = groups(range(len(texts)), links)
+    assert len(got) == len(texts) and all(truth[a] == truth[b] for a in got for b in got if got[a] == got[b])
+    found = [got[a] == got[b] for a, b in links]
+    differing = [got[a] == got[b] for a, b in links if sets[a] != sets[b]]
+    assert len(differing) > 100 and sum(differing) >= 0.95 * len(differing) and sum(found) >= 0.95 * len(found)
+    assert all(got[a] == got[b] for a, b in links if jaccard(sets[a], sets[b]) >= 0.95)
+
+
+def test_whole_batches_of_blocks():
+    """Blocks are put together across batches and cut nowhere else."""
+    table = pa.table({"key": [1, 1, 1, 2, 2, 3, 3, 3, 3], "i": [0] * 9, "j": [0, 0, 1, 0, 0, 0, 0, 0, 0], "v": list(range(9))})
+    for size in (1, 2, 3, 4, 9):
+        parts = list(similar_texts._grouped(iter(table.to_batches(max_chunksize=size)), "key"))
+        assert [v for p in parts for v in p.column("v").to_pylist()] == list(range(9))
+        seen = [set(zip(p.column("key").to_pylist(), p.column("j").to_pylist(), strict=True)) for p in parts]
+        assert sum(map(len, seen)) == len(set().union(*seen)) == 4
+
+
+def test_among_keeps_what_is_wanted(spark):
+    rows, wanted = spark.range(5000).selectExpr("id", "id % 7 as cell"), spark.range(0, 5000, 50).selectExpr("id as want")
+    got = {r.id for r in among(rows, F.col("id"), wanted, F.col("want")).collect()}
+    assert set(range(0, 5000, 50)) <= got and len(got) < 150
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_dedup.simhash_groups(docs).collect() == []
+    assert similar_texts.one_of_each_group(docs).collect() == []
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.embedding_groups(vectors).collect() == []
     assert cover_tree.top_products(vectors, F.col("vec_id") % 20 == 0).collect() == []

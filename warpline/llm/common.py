@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters that separate words in all contracts of this subpackage.
@@ -42,6 +42,11 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def column(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage and to be read more than once.
 
@@ -97,6 +102,30 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         before = now
 
 
+#: Bits of the bitmap that ``among`` broadcasts: a table of at most this many / 64 rows of two numbers.
+FILTER_BITS = 1 << 24
+
+
+def among(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is none of ``wanted_key``; the others all stay, and a join must decide.
+
+    For joins that would shuffle long texts of which few have a partner: a bitmap of the wanted keys'
+    hashes is broadcast, whose size ``FILTER_BITS`` bounds whatever the tables are. As it fills up
+    (from ten million keys or so) it lets more rows pass. Both keys must have the same type; null keys go.
+    """
+    cell, bits = fresh(rows.columns, "cell", "bits")
+
+    def place(of: Column) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(FILTER_BITS))
+
+    bit = place(wanted_key)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    bitmap = wanted.where(wanted_key.isNotNull()).select(F.floor(bit / 64).alias(cell), one.alias(bits)).groupBy(cell).agg(F.bit_or(bits).alias(bits))
+    at = place(key)
+    found = rows.where(key.isNotNull()).join(F.broadcast(bitmap), F.floor(at / 64) == F.col(cell))
+    return found.where(F.getbit(bits, (at % 64).cast("int")) == 1).select(*map(column, rows.columns))
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``most_bytes``, one row at least, so that long texts do not add up."""
     for batch in batches:

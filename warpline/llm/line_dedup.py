@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from warpline.llm.common import Scratch, fresh
+from warpline.llm.common import Scratch, column, fresh
 from warpline.llm.mixing import word_count
 
 MIN_WORDS = 50
@@ -177,5 +177,5 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = F.transform(left, lambda i: F.get(lines, i))
     text = F.when(F.size(runs) > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
     removed = F.aggregate(runs, F.lit(0), lambda s, r: s + r["hi"] - r["lo"] + 1)
-    out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    out = [text.alias(c) if c == text_col else column(c) for c in docs.columns]
     return rows.select(*out, F.when(F.col(text_col).isNull(), 0).otherwise(n).alias(added[0]), removed.alias(added[1]), F.col(runs).alias(added[2]))

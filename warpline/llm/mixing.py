@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from warpline.llm.common import WORD, Scratch
+from warpline.llm.common import WORD, Scratch, column, fresh
 
 WEIGHTS, MOST_EPOCHS, RANGE_ROWS = (5, 2, 1), 3, 50_000
 
@@ -90,10 +90,10 @@ def mix_plan(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed:
     return sized, scratch.save(plan, "plan")
 
 
-def taken_words(size: Column, key: Column) -> Column:
+def taken_words(size: Column, key: Column, epochs: str = "epochs", cut_key: str = "cut_key", part: str = "part") -> Column:
     """From the columns of a plan row: a source without a cut takes whole epochs alone."""
-    once = F.when(key < F.col("cut_key"), size).when(key == F.col("cut_key"), F.least(F.col("part"), size)).otherwise(0)
-    return (F.col("epochs") * size + once).cast("long")
+    once = F.when(key < F.col(cut_key), size).when(key == F.col(cut_key), F.least(F.col(part), size)).otherwise(0)
+    return (F.col(epochs) * size + once).cast("long")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix") -> DataFrame:
@@ -111,18 +111,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix") -> DataFrame:
     """The mix itself: ``docs`` with a row for each time a document is taken, the last one cut to the words taken.
 
-    Texts of which nothing is taken go. The plan has a row per source and is joined to the
+    Texts of which nothing is taken go, null and empty ones among them. Other columns are passed through, whatever their
+    names. The plan has a row per source and is joined to the
     documents where they are, so no text is shuffled unless the plan is too large to broadcast.
     """
     _, plan = mix_plan(docs, id_col, source_col, text_col, seed)
-    plan = plan.select(F.col("source").alias("_source"), "epochs", "cut_key", "part")
-    inner = docs.withColumns({"_size": word_count(text_col), "_key": random_key(id_col, seed)})
-    joined = inner.join(plan, inner[source_col].eqNullSafe(plan["_source"])).withColumn("_taken", taken_words(F.col("_size"), F.col("_key")))
-    joined = joined.where("_taken > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
-    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_turn") - 1) * F.col("_size"))
+    source, epochs, cut_key, part, size, key, taken, turn, text = fresh(docs.columns, "source", "epochs", "cut_key", "part", "size", "key", "taken", "turn", "text")
+    plan = plan.select(F.col("source").alias(source), F.col("epochs").alias(epochs), F.col("cut_key").alias(cut_key), F.col("part").alias(part))
+    inner = docs.withColumns({size: word_count(text_col), key: random_key(id_col, seed)})
+    joined = inner.join(plan, F.col(source_col).eqNullSafe(F.col(source))).withColumn(taken, taken_words(F.col(size), F.col(key), epochs, cut_key, part))
+    joined = joined.where(F.col(taken) > 0).withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col(taken) / F.col(size)))))
+    words = F.least(F.col(size), F.col(taken) - (F.col(turn) - 1) * F.col(size))
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.when(words < F.col("_size"), F.array_join(F.slice(pieces, 1, words.cast("int")), "")).otherwise(F.col(text_col))
-    return joined.withColumn("_text", cut).select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    cut = F.when(words < F.col(size), F.array_join(F.slice(pieces, 1, words.cast("int")), "")).otherwise(F.col(text_col))
+    return joined.withColumn(text, cut).select(*[F.col(text).alias(c) if c == text_col else column(c) for c in docs.columns])
 
 
 #: DuckDB SQL for mix_sources over the table documents: the same keys, sorted whole.

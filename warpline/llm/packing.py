@@ -229,21 +229,21 @@ class _Packer:
         self.size = sum(len(ids) - start for _, ids, start in rest)
 
 
-def _pack(tokenizer_path: str, end_id: int, capacity: int, with_ids: bool, id_type: pa.DataType, names: list[str]):
+def _pack(tokenizer_path: str, end_id: int, capacity: int, with_ids: bool, names: list[str]):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         tokenizer = kept_tokenizer(tokenizer_path)
         packer = _Packer(TaskContext.get().partitionId(), capacity, tokenizer.ending)
-        doc_ids: dict[int, object] = {}
-        number = 0
+        doc_ids: dict[int, pa.Scalar] = {}
+        id_type, number = pa.null(), 0
 
         def pieces(last: bool) -> Iterator[pa.RecordBatch]:
             rows = list(packer.flush(last))
             for start in range(0, len(rows), 4096):
                 part = rows[start : start + 4096]
                 columns = [
-                    pa.array([doc_ids[r[0]] for r in part], id_type),
+                    pa.array([doc_ids[r[0]].as_py() for r in part], id_type),
                     pa.array([r[1] for r in part], pa.int64()),
                     pa.array([len(r[2]) for r in part], pa.int64()),
                     pa.array([r[2] for r in part], pa.list_(pa.int32())) if with_ids else pa.array([zlib.crc32(r[2]) for r in part], pa.int64()),
@@ -258,7 +258,8 @@ def _pack(tokenizer_path: str, end_id: int, capacity: int, with_ids: bool, id_ty
 
         for batch in text_batches(batches, 4 << 20):
             texts = tokenizer.encode([t or "" for t in batch.column(1).to_pylist()])
-            for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
+            id_type = batch.schema.field(0).type
+            for doc_id, ids in zip(batch.column(0), texts, strict=True):
                 doc_ids[number] = doc_id
                 packer.add(number, np.append(ids, np.array([end_id], dtype="<u4")))
                 number += 1
@@ -277,7 +278,7 @@ def pack_documents(
     A document is the ids of its whole text and ``end_id``; a null text is empty and has that id
     alone. Each id lies in one piece, a sequence holds at most ``capacity`` ids, offsets are gapless from 0. With ``digest``
     the column ``ids`` gives way to ``ids_crc32``, the CRC-32 of the ids as little-endian 32-bit numbers. Rows with the same or no id
-    are different documents. An empty table gives an empty result; other columns are ignored.
+    are different documents. Ids may be of any type that Spark can order. An empty table gives an empty result; other columns are ignored.
     """
     path = tokenizer_path or default_tokenizer()
     slim = docs.select(id_col, text_col)
@@ -285,8 +286,7 @@ def pack_documents(
     dealt = slim.repartitionByRange(partitions, *order) if partitions else slim.repartitionByRange(*order)
     kind = slim.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32" if digest else "ids", "doc_tokens", "sequence_id", "offset"]
-    schema = f"{id_col} {kind}, start bigint, length bigint, {'ids_crc32 bigint' if digest else 'ids array<int>'}, doc_tokens bigint, sequence_id bigint, offset bigint"
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return dealt.sortWithinPartitions(*order).mapInArrow(_pack(path, end_id, capacity, not digest, id_type, names), schema)
+    schema = f"`{id_col}` {kind}, start bigint, length bigint, {'ids_crc32 bigint' if digest else 'ids array<int>'}, doc_tokens bigint, sequence_id bigint, offset bigint"
+    return dealt.sortWithinPartitions(*order).mapInArrow(_pack(path, end_id, capacity, not digest, names), schema)
 
 

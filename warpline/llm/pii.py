@@ -46,10 +46,18 @@ AROUND, NEAR, ROUNDS, LABELERS = 24, 80, 60, ("shape", "gazetteer", "context", "
 _SPAN = "struct<start:int,end:int,found:string>"
 
 
+#: Spans of a text that are added up, or searched, at once: work on a list of n grows as n * STEP + (n / STEP)**2.
+STEP = 256
+
+
 def _located(text: Column, pattern: str, found: Column) -> Column:
-    """Offsets in code points of the matches ``found``, from the lengths of what lies between them."""
+    """Offsets in code points of the matches ``found``, from the lengths of what lies between them.
+
+    They are added up in groups, and the groups then moved to where they begin, as every step of a
+    fold copies the list it has so far.
+    """
+    none = F.expr(f"cast(array() as array<{_SPAN}>)")
     parts = F.zip_with(F.split(text, pattern, -1), found, lambda gap, x: F.struct(F.length(gap).alias("gap"), x.alias("x")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("out"))
 
     def step(acc: Column, y: Column) -> Column:
         begin = acc["at"] + y["gap"]
@@ -57,7 +65,33 @@ def _located(text: Column, pattern: str, found: Column) -> Column:
         span = F.struct(begin.alias("start"), end.alias("end"), y["x"].alias("found"))
         return F.when(y["x"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
 
-    return F.when(F.size(found) > 0, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
+    def group(first: Column) -> Column:
+        return F.aggregate(F.slice(parts, first, F.lit(STEP)), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def move(acc: Column, own: Column) -> Column:
+        moved = F.transform(own["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), (x["end"] + acc["at"]).alias("end"), x["found"].alias("found")))
+        return F.struct((acc["at"] + own["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    groups = F.transform(F.sequence(F.lit(1), F.size(found), F.lit(STEP)), group)
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{_SPAN}>>)").alias("out"))
+    return F.when(F.size(found) > 0, F.flatten(F.aggregate(groups, start, move, lambda acc: acc["out"]))).otherwise(none)
+
+
+def _ranges(spans: Column) -> Column:
+    """Spans sorted and cut into groups of ``STEP``, each with the range it covers, to be asked by ``_meets``."""
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(spans), F.lit(1)), F.lit(STEP)), lambda first: F.slice(ordered, first, F.lit(STEP)))
+    return F.transform(parts, lambda own: F.struct(F.array_min(F.transform(own, lambda x: x["start"])).alias("lo"), F.array_max(F.transform(own, lambda x: x["end"])).alias("hi"), own.alias("own")))
+
+
+def _meets(ranges: Column, start: Column, end: Column, other_than: Column | None = None) -> Column:
+    """Whether a span in ``ranges`` overlaps start to end, one that begins at ``other_than`` aside."""
+
+    def hit(x: Column) -> Column:
+        found = (x["start"] < end) & (x["end"] > start)
+        return found if other_than is None else found & (x["start"] != other_than)
+
+    return F.exists(ranges, lambda g: F.when((g["lo"] < end) & (g["hi"] > start), F.exists(g["own"], hit)).otherwise(F.lit(False)))
 
 
 def _digits(x: Column) -> Column:
@@ -87,7 +121,7 @@ def _votes(x: Column, text: Column, base: Column, is_base: bool) -> Column:
     before = F.lower(F.substring(text, F.greatest(x["start"] + 1 - AROUND, F.lit(1)), F.least(x["start"], F.lit(AROUND))))
     digits = _digits(x["found"])
     n = F.length(digits)
-    near = F.exists(base, lambda b: (b["start"] < x["end"] + NEAR) & (b["end"] > x["start"] - NEAR) & (b["start"] != x["start"]))
+    near = _meets(base, x["start"] - NEAR, x["end"] + NEAR, x["start"])
     beside = F.concat(F.substring(text, F.greatest(x["start"], F.lit(1)), F.least(x["start"], F.lit(1))), F.lit(" "), F.substring(text, x["end"] + 1, F.lit(1)))
     vote = lambda yes, no: F.when(yes, 1).when(no, 0).otherwise(-1)
     return F.struct(
@@ -123,12 +157,12 @@ def found_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if kind in _KEEP:
             keep = _KEEP[kind]
             rows = rows.withColumn(kind, F.filter(kind, lambda x: keep(x["found"])))  # called at once
-    rows = rows.select("doc_id", "text", *KINDS, *EXTRA, F.concat(*KINDS).alias("all"))
+    rows = rows.select("doc_id", "text", *KINDS, *EXTRA, _ranges(F.concat(*KINDS)).alias("all"))
 
     def described(kind: str) -> Column:
         free = F.col(kind)
         if kind in EXTRA:
-            free = F.filter(free, lambda x: ~F.exists("all", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
+            free = F.filter(free, lambda x: ~_meets(F.col("all"), x["start"], x["end"]))
         return F.transform(
             free, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _votes(x, text, F.col("all"), kind in KINDS).alias("votes"), _shape(x).alias("shape"))
         )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from warpline.llm.common import among
 from warpline.llm.cover_tree import TOP_SQL, top_products
 from warpline.llm.embedding_dedup import GROUPS_SQL, embedding_groups
 from warpline.llm.language_id import identify_languages
@@ -28,29 +29,10 @@ def crc_fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-#: Bits of the filter of labelled ids, and so the bound of what is broadcast for it: a row of 64 bits each.
-FILTER_BITS = 1 << 24
-
-
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the rows that labels may be learned from; of labels that disagree the toxic one holds.
-
-    Texts are shuffled to meet their labels, so documents that cannot have one are left where they
-    are: a bitmap of hashes of the labelled ids, of ``FILTER_BITS`` at most, is broadcast, and what passes it
-    is joined. Beyond some ten million labels the bitmap fills up and lets more pass; the join
-    decides in any case.
-    """
+    """(doc_id, text, toxic) of the rows that labels may be learned from; of labels that disagree the toxic one holds."""
     own = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-
-    def place(column: Column) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-
-    kind = docs.schema["doc_id"].dataType
-    bit = place(F.col("doc_id").cast(kind))
-    bits = own.select(F.floor(bit / 64).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
-    rows = docs.where(F.col("doc_id").isNotNull() & (crc_fold("doc_id", 5) != 0)).select("doc_id", "text")
-    at = place(F.col("doc_id"))
-    rows = rows.join(F.broadcast(bits), F.floor(at / 64) == F.col("cell")).where(F.getbit("bits", (at % 64).cast("int")) == 1).select("doc_id", "text")
+    rows = among(docs.where(crc_fold("doc_id", 5) != 0).select("doc_id", "text"), F.col("doc_id"), own, F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     # A merge join whatever the size, so that the plan does not change as labels outgrow a broadcast.
     return rows.join(own.hint("merge"), "doc_id")
 

@@ -32,7 +32,9 @@ _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 _NAMED = ("access", "client", "account", "user", "login")
 _IDENTIFIER = re.compile(r"""(?:access[_-]?(?:key[_-]?)?id|client[_-]?id|account[_-]?id|user(?:name|[_-]?id)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}""", re.IGNORECASE | re.ASCII)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
-_ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,9}://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b")
+_ADDRESS = re.compile(r"[a-z][a-z0-9+.-]{1,9}://[^\s\"'<>]+")
+# Runs of the characters of host names are taken whole from their first one, which is linear; what a name is comes after.
+_HOST_RUN = re.compile(r"(?<![a-z0-9.-])[a-z0-9.-]++:[0-9]{2,5}\b")
 
 Span = tuple[str, int, int]
 
@@ -70,6 +72,22 @@ class _Places:
         return i >= 0 and self.ends[i] > start
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Addresses with a scheme, and names of two parts or more with a port that lie in none of them."""
+    if ":" not in text:
+        return []
+    found = [m.span() for m in _ADDRESS.finditer(text)] if "://" in text else []
+    taken = _Places(found)
+    for m in _HOST_RUN.finditer(text):
+        colon = m[0].rindex(":")
+        begin = m[0].rfind("..", 0, colon) + 2 if ".." in m[0] else 0
+        name = m[0][begin:colon].lstrip(".")
+        start = m.start() + colon - len(name)
+        if "." in name and not name.endswith(".") and not taken.meet(start, m.end()):
+            found.append((start, m.end()))
+    return sorted(found)
+
+
 def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     """The weak parts of which complementary parts lie in scope; none overlaps a base span."""
     lower = text.lower()
@@ -85,7 +103,7 @@ def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     near = lambda places, s, e: places.meet(s - scope, e + scope)
     found = [("identifier", s, e) for s, e in weak_ids if near(secrets, s, e)]
     found += [("token", s, e) for s, e in tokens if near(named, s, e)]
-    ends = [m.span() for m in _ENDPOINT.finditer(text) if not own.meet(*m.span())] if ":" in text else []
+    ends = [e for e in endpoints(text) if not own.meet(*e)]
     return found + [("endpoint", s, e) for s, e in ends if near(named, s, e) and near(secrets, s, e)]
 
 
@@ -110,7 +128,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=[id_col, "spans"])
 
     slim = docs.select(id_col, text_col)
-    return slim.mapInArrow(run, f"{id_col} {slim.schema[id_col].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return slim.mapInArrow(run, f"`{id_col}` {slim.schema[id_col].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def joined_spans(spans: Column) -> Column:

@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warpline.llm.common import Scratch, connected_components, text_batches
@@ -101,25 +101,33 @@ def _spread(replicas: bool):
     return spread
 
 
-def text_print(text: str | None, width: int) -> int:
-    """The signed 64-bit fingerprint of a text's word shingles."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of a text's word shingles in order, repeats included; fewer words are one shingle, none are none."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if len(words) <= width:
-        hashes = [xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[: len(words) - width].tolist()]
-        hashes = [xxh64_intdigest(line[s:e], 42) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+        return np.array([xxh64_intdigest(b" ".join(words), 42)], dtype="<u8")
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[: len(words) - width].tolist()]
+    return np.array([xxh64_intdigest(line[s:e], 42) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
     ones = np.zeros(64, dtype=np.int64)
-    values = np.array(hashes, dtype="<u8")
-    for start in range(0, len(values), 1 << 16):
-        ones += np.unpackbits(values[start : start + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(values), bitorder="little").view("<i8")[0])
+    for start in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[start : start + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def text_print(text: str | None, width: int) -> int:
+    """The signed 64-bit fingerprint of a text's word shingles."""
+    hashes = shingle_hashes(text, width)
+    return int(np.packbits(_ones(hashes) * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -166,21 +174,3 @@ def simhash_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(least, "root").select("print", "component_id")
     return rows.join(named, "print").select(id_col, hex_print("print").alias("fingerprint"), "component_id", *carry)
-
-
-def one_of_each_group(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest id, null ids last, then by a hash of the text.
-
-    Rows equal in id and text are one document, of which one row stays. Texts are joined to a slim
-    table of rows to keep; their fingerprints, links and components never carry them.
-    """
-    keys = [F.xxhash64(F.lit(s), id_col, text_col).alias(f"_k{s}") for s in (1, 2)]
-    keyed = docs.select("*", *keys)
-    groups = simhash_groups(keyed, width, id_col, text_col, ("_k1", "_k2"))
-    # A group without any id is known by its fingerprint, which all groups but equal ones differ in.
-    group = [F.col("component_id").isNull().alias("g0"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("g1"), F.col("component_id").alias("g2")]
-    first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"))).alias("w")
-    winners = groups.groupBy(*group).agg(first).select(F.col("w.k1").alias("_w1"), F.col("w.k2").alias("_w2")).distinct()
-    kept = keyed.join(winners, (F.col("_k1") == F.col("_w1")) & (F.col("_k2") == F.col("_w2")))
-    turn = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_w1"))
-    return kept.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)

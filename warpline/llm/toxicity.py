@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warpline.llm.common import Scratch, fresh, text_batches
+from warpline.llm.common import Scratch, column, fresh, text_batches
 
 ORDER, SHARED, DISCOUNT, CALIBRATION_ROWS, STRONGEST = 5, 2, 0.75, 20_000, 4
 #: The models, each by its columns of ordinary and toxic counts: of all rows, and of those that do not calibrate.
@@ -282,8 +282,8 @@ def toxicity_scores(docs: DataFrame, labelled: DataFrame, fold: Column, id_col:
         return docs.withColumn(score_col, F.lit(0.0))
 
     # Texts are known by 128 bits, so that what is computed about them never carries them.
-    def keys(column: str) -> list[Column]:
-        return [F.xxhash64(F.lit(s), F.col(column)).alias(f"k{s}") for s in (1, 2)]
+    def keys(of: str) -> list[Column]:
+        return [F.xxhash64(F.lit(s), F.col(of)).alias(f"k{s}") for s in (1, 2)]
 
     texts = docs.select(*keys(text_col), F.lit(None).cast("int").alias("toxic"), F.col(text_col).alias("text")).unionByName(rows.where("held").select(*keys("text"), "toxic", "text"))
     measured = scratch.save(text_ratios(texts, grams, scratch), "ratios")
@@ -295,4 +295,4 @@ def toxicity_scores(docs: DataFrame, labelled: DataFrame, fold: Column, id_col:
     k1, k2, t1, t2 = fresh(docs.columns + [score_col], "k1", "k2", "t1", "t2")
     scores = measured.where("toxic is null").select(F.col("k1").alias(k1), F.col("k2").alias(k2), score.alias(score_col)).groupBy(k1, k2).agg(F.first(score_col).alias(score_col))
     keyed = docs.select("*", *[key.alias(name) for key, name in zip(keys(text_col), (t1, t2), strict=True)])
-    return keyed.join(scores, (F.col(t1) == F.col(k1)) & (F.col(t2) == F.col(k2)), "left").select(*docs.columns, score_col)
+    return keyed.join(scores, (F.col(t1) == F.col(k1)) & (F.col(t2) == F.col(k2)), "left").select(*map(column, docs.columns), score_col)
