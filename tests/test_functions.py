@@ -18,10 +18,10 @@ def one(spark, column, **values):
 
 def plain_words(text):
     found = re.finditer(r"\d+(?:[.,]\d+)*%?|\w+|[^\w\s]", text)
-    return [(m[0].lower().replace("ß", "ss"), m.start(), m.end()) for m in found if any(c.isalnum() for c in m[0])]
+    return [(m[0].casefold(), m.start(), m.end()) for m in found if any(c.isalnum() for c in m[0])]
 
 
-@pytest.mark.parametrize("text", ["", "3rd of 30% 1.5,2 a_b", "Straße — Ünï 😀 x", "a\nb  c!", "½ ² x", "no.", "_ __", "1,"])
+@pytest.mark.parametrize("text", ["", "3rd of 30% 1.5,2 a_b", "Straße — Ünï 😀 x", "a\nb  c!", "½ ² x", "no.", "_ __", "1,", "ﬁnance ΟΔΥΣΣΕΥΣ ſo ẞ µ İ"])
 def test_word_offsets(spark, text):
     got = [(r.word, r.start, r.end) for r in one(spark, T.word_offsets(F.col("t")), t=text)]
     assert got == plain_words(text)
@@ -29,6 +29,14 @@ def test_word_offsets(spark, text):
     assert one(spark, T.words(F.col("t")), t=text) == [w for w, _, _ in got]
 
 
+def test_fold_is_unicode_case_folding(spark):
+    points = [chr(p) for p in (*range(0x20, 0xD800), *range(0xE000, 0x20000)) if chr(p).casefold() != chr(p)]
+    rows = spark.createDataFrame([(c, f"a{c}B") for c in points], "c string, t string").select("c", "t", T.fold(F.col("t")).alias("f"), F.lower("c").alias("low")).collect()
+    # Java and Python may know different versions of Unicode: characters that Java has no lower case for are left out.
+    wrong = [r.c for r in rows if r.f != r.t.casefold() and r.low == r.c.lower()]
+    assert len(rows) > 1300 and wrong == []
+
+
 def test_windows_of_short_texts(spark):
     w = T.windows(F.col("w"))
     assert one(spark, w, w=["a"] * 7) == [] and one(spark, w, w=[]) == []
@@ -99,6 +107,64 @@ def test_sentences_and_passages():
     assert U.sentences("") == [] and U.passages("12 34") == []
 
 
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("See fig. 2 for it. Next one.", ["See fig. 2 for it.", "Next one."]),
+        ("The U.S. is e.g. here. J. Doe agrees! Really? yes.", ["The U.S. is e.g. here.", "J. Doe agrees!", "Really?", "yes."]),
+        ("He said \"stop.\" Then left… and came back. (Done.) Fine", ["He said \"stop.\"", "Then left… and came back.", "(Done.)", "Fine"]),
+        ("1. One\n2. Two\n(a) Three\n• Four\nstill four", ["1. One", "2. Two", "(a) Three", "• Four\nstill four"]),
+        ("Head\n\nSeite 4 von 9\n\n12\n\nTail in 2021. It ended.", ["Head", "Tail in 2021.", "It ended."]),
+        ("ends with version 5. And more", ["ends with version 5.", "And more"]),
+        ("no end", ["no end"]), (" \n ", []), ("...", []),
+    ],
+)
+def test_where_sentences_end(text, expected):
+    assert [text[s:e] for s, e, _ in U.sentences(text)] == expected
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("Change “a” to “b” and strike 'c d'.", [("replace", "a", "b"), ("delete", "c d", "")]),
+        ("replace 'a' and 'b'; ADD \"x\"", [("insert", "", "x")]),
+        ("add 'don't' here", [("statement", None, "add 'don't' here")]),
+        ("insert ' padded' or 'q'", [("statement", None, "insert ' padded' or 'q'")]),
+        ("readd 'x'", [("statement", None, "readd 'x'")]),
+        ("delete\n'x'\treplace 'y'  by  'z'", [("delete", "x", ""), ("replace", "y", "z")]),
+    ],
+)
+def test_instructions(text, expected):
+    found = U.quoted_changes(text)
+    assert [(c["kind"], c["old"], c["new"]) for c in found] == expected
+    assert all(0 <= c["start"] < c["end"] <= len(text) for c in found)
+
+
+@pytest.mark.parametrize(
+    ("markup", "expected"),
+    [
+        ("<p>a <b>b</b>c<img src=x>d</p>tail", [("a bcd", []), ("tail", [])]),
+        ("<div class='x'><p class='y'>one</div>two", [("one", ["x", "y"]), ("two", [])]),
+        ("<p><span class='num'>1</span>text</p>", [("1 text", [])]),
+        ("<p>call <a class='footnoteRef'>(1)</a>, rest</p>", [("call, rest", [])]),
+        ("</div><p>x<br/><br>y</p><style>p{}</style>", [("x\ny", [])]),
+        ("<p>&amp; &eacute;</p><!-- no --><p>  </p>", [("& é", [])]),
+        ("<table><tr><td>a<td>b</table>c", [("a", []), ("b", []), ("c", [])]),
+    ],
+)
+def test_paragraphs_of_markup(markup, expected):
+    assert [(r["text"], r["classes"]) for r in U.html_paragraphs(markup)] == expected
+
+
+@pytest.mark.parametrize(("old", "new"), [("a b c d", "a x c"), ("", "new words"), ("gone", ""), ("same", "SAME"), ("1,5 % of it", "1.5% of them, it")])
+def test_changes_rebuild_the_new_text(old, new):
+    """What is not deleted of the old tokens and what is not inserted of the new ones are the same tokens."""
+    changes = U.token_changes(old, new)
+    left = lambda text, op: [m[0].casefold() for m in U._TOKEN.finditer(text) if not any(c["operation"] == op and c["start"] <= m.start() < c["end"] for c in changes)]
+    assert left(old, "delete") == left(new, "insert")
+    assert all(c["text"] == (old if c["operation"] == "delete" else new)[c["start"] : c["end"]] for c in changes)
+
+
 def test_html():
     rows = U.html_paragraphs("<html><head><title>t</title></head><body><p class='a b'>x<br>y <a id='ntc1'>(5)</a>z</p><div id='art_1'><p>q<script>no</script></div>tail</body>")
     assert [r["text"] for r in rows] == ["x\nyz", "q", "tail"]

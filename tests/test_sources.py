@@ -144,3 +144,18 @@ def test_streamed_origins(spark, tmp_path):
         streaming.write_origins(stream, phrases, common, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination(120)
     rows = spark.read.parquet(f"{tmp_path}/out").collect()
     assert [(r.document_id, r.phrase_id, r.first, r.words) for r in rows] == [("d0", "p1", 1, 9)]
+
+
+def test_bad_lines_are_numbered_within_files(spark, tmp_path):
+    """Also where a file is read in many blocks."""
+    lines = [f'{{"a": {k}, "b": "x"}}' if k % 50 else ("no json" if k % 100 else '{"a": 1}') for k in range(3000)]
+    (tmp_path / "one.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "two.jsonl").write_text('{"a": 1, "b": "y"}\n\n[1]\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000b")
+    try:
+        got = store.bad_lines(spark, str(tmp_path), "a int, b string").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r.line for r in got if r.file.endswith("one.jsonl")) == list(range(1, 3001, 50))
+    assert [(r.line, r.value) for r in got if r.file.endswith("two.jsonl")] == [(3, "[1]")]

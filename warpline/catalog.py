@@ -479,12 +479,13 @@ def _entries(spark, d):
     )
 
 
-def _mentions(spark, d):
+def _mentions(spark, d, third="Unionn of "):
+    """All suppliers as mentions of nations in seven spellings, ``third`` before the name in one of them."""
     k = F.col("s_suppkey")
     name = F.translate(F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")), "_0123456789", " abcdefghij")
     spelling = (
         F.when(k % 7 == 0, F.concat(F.lit("union  of "), F.lower(name), F.lit(", GmbH"))).when(k % 7 == 1, F.concat(F.lit("European Union of "), name)).when(k % 7 == 2, F.concat(F.lit("U"), F.col("s_nationkey")))
-        .when(k % 7 == 3, F.concat(F.lit("Unionn of "), name)).otherwise(F.col("s_name"))
+        .when(k % 7 == 3, F.concat(F.lit(third), name)).otherwise(F.col("s_name"))
     )
     code = F.when(k % 7 == 4, F.concat(F.lit(" "), F.lpad(k.cast("string"), 7, "0"), F.lit("-01 ")))
     return table(spark, d, "supplier").select(k.alias("mention_id"), spelling.alias("spelling"), code.alias("register_id"), F.when(k % 7 == 5, "EU_CITIZEN").alias("user_type"), F.lit(None).cast("string").alias("country"))
@@ -495,9 +496,10 @@ def resolve_names(spark, d):
     return E.resolve(_mentions(spark, d), _entries(spark, d))
 
 
-@query("""select s_suppkey as mention_id, case s_suppkey % 7 when 0 then 'normalised_exact' when 1 then 'fuzzy' when 2 then 'acronym' when 4 then 'register_id' else 'unresolved' end as resolution from supplier where s_suppkey % 7 <> 3""")
+@query("""select s_suppkey as mention_id, case s_suppkey % 7 when 0 then 'normalised_exact' when 1 then 'fuzzy' when 2 then 'acronym' when 4 then 'register_id' when 3 then 'normalised_exact' else 'unresolved' end as resolution from supplier""")
 def resolve_exact(spark, d):
-    return E.resolve(_mentions(spark, d).where("mention_id % 7 <> 3"), _entries(spark, d)).select("mention_id", "resolution")
+    """All mentions, none of them misspelt, as plain SQL has no similarity of names; ``resolve_names`` has those."""
+    return E.resolve(_mentions(spark, d, "Union of "), _entries(spark, d)).select("mention_id", "resolution")
 
 
 @query()
@@ -505,15 +507,8 @@ def resolve_fuzzy(spark, d):
     return E.fuzzy_matches(_mentions(spark, d), E.name_index(_entries(spark, d))).select("mention_id", F.round("score", 6).alias("score"), F.array_join("ids", ",").alias("ids"))
 
 
-@query("""with m as (select unnest(['register_id', 'mep_id', 'normalised_exact', 'fuzzy', 'acronym', 'ambiguous', 'unresolved', 'citizens']) as method),
-c as (select case s_suppkey % 7 when 0 then 'normalised_exact' when 1 then 'fuzzy' when 2 then 'acronym' when 4 then 'register_id' when 5 then 'citizens' else 'unresolved' end as method from supplier where s_suppkey % 7 <> 3)
-select m.method, count(c.method) as actors from m left join c using (method) group by m.method""")
-def resolution_summary(spark, d):
-    return E.resolution_summary(E.resolve(_mentions(spark, d).where("mention_id % 7 <> 3"), _entries(spark, d)))
-
-
 @query()
-def resolution_summary_all(spark, d):
+def resolution_summary(spark, d):
     """All mentions, the misspelt ones too; plain SQL has no similarity of names."""
     return E.resolution_summary(E.resolve(_mentions(spark, d), _entries(spark, d)))
 
@@ -954,14 +949,8 @@ def act_streams(spark, d):
 # --- Supporting operators -----------------------------------------------------------------
 
 
-@query("""select doc_id, case when length(text) > 5000 then 'text_too_large' when trim(text) = '' then 'empty_document' end as code, case when length(text) <= 5000 and trim(text) <> '' then length(text) else -1 end as characters from documents""")
-def extracted_text(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
-    return documents.extract_text(rows, "content", most_characters=5000).select("doc_id", "code", F.coalesce("characters", F.lit(-1)).alias("characters"))
-
-
 @query("""select doc_id, case when length(text) > 500000 then 'text_too_large' when trim(text) = '' then 'empty_document' end as code, case when length(text) <= 500000 and trim(text) <> '' then length(text) else -1 end as characters from documents""")
-def extracted_text_all(spark, d):
+def extracted_text(spark, d):
     """With the limit that the operator has of itself."""
     rows = table(spark, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
     return documents.extract_text(rows, "content").select("doc_id", "code", F.coalesce("characters", F.lit(-1)).alias("characters"))
@@ -981,20 +970,9 @@ def asks(spark, d):
     return found.select("ask_id", "document_id", "direction", "limit_reason")
 
 
-@query("""with c as (select o_orderkey, '2020/' || lpad((o_orderkey % 10000)::varchar, 4, '0') || '(COD)' as p from orders where o_orderkey < 10000 and o_orderkey % 7 <> 0)
-select o_orderkey as query_id, 'chosen' as status, p as found from c where o_orderkey % 3 = 0 union all select o_orderkey, 'chosen', p from c where o_orderkey % 3 = 1""")
-def resolve_law(spark, d):
-    lines = dump.dump_lines(spark, _dossiers(spark, d).where("o_orderkey < 10000").select("value"))
-    entries, _ = dump.catalog(dump.read_dump(lines, dump.DOSSIER))
-    k = F.col("o_orderkey")
-    typed = F.when(k % 3 == 0, F.concat(F.lit("2020/"), k.cast("string"), F.lit(" cod"))).otherwise(F.concat(F.lit("com(2020) "), k.cast("string")))
-    asked = table(spark, d, "orders").where("o_orderkey < 10000 and o_orderkey % 7 <> 0 and o_orderkey % 3 <> 2").select(k.alias("query_id"), typed.alias("query"))
-    return S.resolve_law(asked, entries, spark.createDataFrame([], "key string, title_id string"), U.caseless_key).select("query_id", "status", "found")
-
-
 @query("""with p as (select distinct o_orderkey % 10000 as n from orders where o_orderkey % 7 <> 0)
 select o_orderkey as query_id, case when n is null then 'unknown' else 'chosen' end as status, '2020/' || lpad(n::varchar, 4, '0') || '(COD)' as found from orders left join p on o_orderkey % 10000 = n""")
-def resolve_law_all(spark, d):
+def resolve_law(spark, d):
     """All orders as dossiers and all as queries, those that lead nowhere too."""
     entries, _ = dump.catalog(dump.read_dump(dump.dump_lines(spark, _dossiers(spark, d).select("value")), dump.DOSSIER))
     k = F.col("o_orderkey")
@@ -1048,18 +1026,9 @@ def stage_union(spark, d):
     return store.union_stages(parts).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select page, publication, feedback_id from (select c_custkey // 100 as page, c_nationkey as publication, c_custkey as feedback_id from customer) where page <= 7""")
-def feedback_pages(spark, d):
-    c = table(spark, d, "customer")
-    page = (F.col("c_custkey") / 100).cast("long")
-    rows = c.select(page.alias("page"), F.col("c_nationkey").alias("publication"), F.col("c_custkey").alias("feedback_id"))
-    last = rows.select("publication").distinct().withColumn("last_page", F.lit(7).cast("long"))
-    return feedback.read_pages(rows, last)
-
-
 @query("""with c as (select c_nationkey as publication, count(*) as n from customer group by c_nationkey)
 select c_custkey // 100 as page, publication, c_custkey as feedback_id from customer join c on c_nationkey = publication where c_custkey // 100 <= n // 4""")
-def feedback_pages_all(spark, d):
+def feedback_pages(spark, d):
     """The last page follows from a publication's number of rows, of which a page has four on average."""
     rows = table(spark, d, "customer").select((F.col("c_custkey") / 100).cast("long").alias("page"), F.col("c_nationkey").alias("publication"), F.col("c_custkey").alias("feedback_id"))
     last = rows.groupBy("publication").agg(F.floor(F.count(F.lit(1)) / 4).alias("last_page"))

@@ -20,11 +20,38 @@ _ANY_TOKEN = TOKEN + r"|[^\s\p{L}\p{N}_]"
 _ALNUM = r"[\p{L}\p{N}]"
 
 
-def fold(text: Column) -> Column:
-    """Lower case with the sharp s as two letters, so that spellings compare alike."""
+def _spans(points: list[int]) -> str:
+    """A character class of code points, as ranges."""
+    starts = [p for p in points if p - 1 not in points]
+    ends = [p for p in points if p + 1 not in points]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
+#: Characters that Unicode folds otherwise than it lowers them, the sharp s aside (a capital sigma is lowered by its place), and what they become once lowered.
+_POINTS = [p for p in (*range(0x80, 0xD800), *range(0xE000, 0x110000)) if (chr(p).casefold() != chr(p).lower() and chr(p).lower() != "ß") or chr(p) == "Σ"]
+_RARE = _spans(sorted(_POINTS)) if len(_POINTS) < 2000 else "."
+_FOLDED = {c: c.casefold() for p in _POINTS for c in chr(p).lower() if c.casefold() != c}
+
+
+def _fold_rare(text: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in sorted(_FOLDED.items()) for x in pair])
+    return F.array_join(F.transform(F.split(_fold_plain(text), ""), lambda c: F.coalesce(table[c], c)), "")
+
+
+def _fold_plain(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
+def _is_rare(text: Column) -> Column:
+    """Whether lower case and the sharp s do not make up the fold; texts of ASCII alone are not looked through."""
+    return (F.octet_length(text) > F.length(text)) & text.rlike(_RARE)
+
+
+def fold(text: Column) -> Column:
+    """Caseless form by Unicode's full case folding, so that spellings compare alike."""
+    return F.when(_is_rare(text), _fold_rare(text)).otherwise(_fold_plain(text))
+
+
 def tokens(text: Column) -> Column:
     """All tokens in order, symbols included."""
     return F.regexp_extract_all(text, F.lit(f"({_ANY_TOKEN})"), F.lit(1))
@@ -33,7 +60,8 @@ def tokens(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Folded tokens that hold a letter or digit."""
     found = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
-    return F.transform(F.filter(found, lambda w: w.rlike(_ALNUM)), fold)
+    kept = F.filter(found, lambda w: w.rlike(_ALNUM))
+    return F.when(_is_rare(text), F.transform(kept, _fold_rare)).otherwise(F.transform(kept, _fold_plain))
 
 
 def word_offsets(text: Column) -> Column:

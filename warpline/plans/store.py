@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from warpline.functions import text as T
@@ -77,14 +77,23 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(line, value) of the lines that are no such record, numbered within their file from 1."""
-    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.monotonically_increasing_id().alias("i"))
+    """(file, line, value) of the lines that are no such record, numbered within their file from 1.
+
+    A large file is read in blocks by several tasks; a line's number is its place in its block
+    and the lines of the file's blocks before, which are counted first.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    blocks = lines.groupBy("file", "block").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     fields = [f.strip().split()[0] for f in schema.split(",")]
     parsed = lines.withColumn("r", F.from_json("value", schema))
     nothing = F.col("r").isNull()
     for name in fields:
         nothing = nothing | F.col(f"r.{name}").isNull()
-    return parsed.where(nothing & (F.trim("value") != "")).select((F.col("i") + 1).alias("line"), "value")
+    bad = parsed.where(nothing & (F.trim("value") != "")).join(blocks, ["file", "block"])
+    return bad.select("file", (F.col("i") - F.col("first") + F.col("before") + 1).alias("line"), "value")
 
 
 def export(rows: DataFrame, path: str, order: list[str]) -> None:
