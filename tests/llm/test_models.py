@@ -130,6 +130,12 @@ def test_no_gram_is_dropped(spark):
     assert len(value) == len(wanted) and all(abs(got[w] - x) < 1e-9 for w, x in expected.items())
 
 
+def test_numbers_are_packed_without_loss():
+    rng = np.random.default_rng(3)
+    for own in ([], [0], [70_000, 3], list(rng.permutation(5000)[:700]), [2**31 - 1, 0]):
+        assert toxicity.unpacked_numbers(toxicity.packed_numbers(np.array(own, dtype=np.int32))).tolist() == sorted(own)
+
+
 def test_scores_compare_the_strongest_words(spark):
     """Scores rise with the ratio per character of the strongest different words, computed by definition."""
     rng = random.Random(8)

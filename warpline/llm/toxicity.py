@@ -180,6 +180,17 @@ _SPELT = "batch bigint, k1 bigint, k2 bigint, toxic int, at binary, words binary
 BATCH_BYTES = 8 << 20
 
 
+def packed_numbers(numbers: np.ndarray) -> bytes:
+    """Different numbers as the compressed steps between them in order: all low bytes first, then the higher ones, which are mostly zero."""
+    steps = np.diff(np.sort(numbers), prepend=np.int32(0)).astype("<i4")
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked_numbers(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(blob), dtype=np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel())
+
+
 def _number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k1, k2, toxic, text) to the numbers of a text's different words, and one row with the words of the batch in the order of their numbers, and their n-grams."""
     for batch in text_batches(batches, BATCH_BYTES):
@@ -188,8 +199,7 @@ def _number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for text in batch.column(3).to_pylist():
             different = set(words_of(text))
             own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in different), np.int32, len(different))
-            own.sort()
-            at.append(zlib.compress(np.diff(own, prepend=np.int32(0)).tobytes(), 1))
+            at.append(packed_numbers(own))
         size = batch.num_rows
         words = list(numbers)
         # Labelled and other texts come in partitions of their own, so a batch is measured by one model.
@@ -238,7 +248,7 @@ def text_ratios(texts: DataFrame, grams: DataFrame, scratch: Scratch) -> DataFra
         values[at[0]] = at[1]
         evidence = word_sums(words, values)
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        own = (np.cumsum(np.frombuffer(zlib.decompress(blob), dtype=np.int32)) for blob in texts.column("at").to_pylist())
+        own = map(unpacked_numbers, texts.column("at").to_pylist())
         x = [strongest_ratio(evidence[a], lengths[a]) for a in own]
         return pa.table([*[texts.column(c) for c in ("k1", "k2", "toxic")], pa.array(x, pa.float64())], names=["k1", "k2", "toxic", "x"])
 
