@@ -34,14 +34,51 @@ def test_language_held_out_and_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify_languages(docs, F.lit(False)).collect()} == {"und"}
 
 
-def test_presence_does_not_depend_on_pieces(monkeypatch):
-    text = "Ab ćd 12 ef!gh " * 50
-    whole = np.zeros(language_id.BUCKETS, np.float32)
-    language_id.mark_presence(text, whole)
-    monkeypatch.setattr(language_id, "PIECE", 37)
-    parts = np.zeros(language_id.BUCKETS, np.float32)
-    language_id.mark_presence(text, parts)
-    assert (whole <= parts).all() and parts.sum() <= whole.sum() + 40
+def plain_buckets(text):
+    """Buckets of the n-grams of a text by definition: lower-cased letters, every run of others between or after them one space."""
+    out = []
+    for c in text.lower():
+        if c.isalpha():
+            out.append(c)
+        elif out and out[-1] != " ":
+            out.append(" ")
+    found, top = set(), 32 - language_id.BUCKETS.bit_length() + 1
+    for n in range(1, language_id.ORDER + 1):
+        for i in range(len(out) - n + 1):
+            h = ord(out[i])
+            for k in range(2, n + 1):
+                h = ((h ^ (h >> 15)) * 0x85EBCA6B + ord(out[i + k - 1]) * k) % 2**32
+            found.add((h ^ (h >> 13)) * 0x9E3779B1 % 2**32 >> top)
+    return found
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 8, 37, 1 << 20])
+@pytest.mark.parametrize("text", ["Ab ćd 12 ef!gh " * 50, "a" + "1" * 50 + "b  --  c" + "." * 9, "  x", "12", "", "ΟΔΥΣ αβ、日本語 text", "a\nb" * 30])
+def test_presence_does_not_depend_on_pieces(monkeypatch, piece, text):
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    row = np.zeros(language_id.BUCKETS, np.float32)
+    assert language_id.mark_presence(text, row) == any(c.isalpha() for c in text)
+    if "Σ" not in text:  # a capital sigma is lowered by its place in the piece
+        assert set(np.flatnonzero(row)) == plain_buckets(text) if any(c.isalpha() for c in text) else not row.any()
+
+
+def test_kernel_ridge_against_its_definition():
+    """Margins are those of one-versus-rest ridge regression on Nyström features, all kernels computed from plain sets."""
+    rng = random.Random(11)
+    languages = [lang for lang in sorted(SYLLABLES) for _ in range(12)]
+    texts = [invented(rng, lang, rng.randint(3, 20)) for lang in languages]
+    asked = [invented(rng, lang, 8) + " " + invented(rng, rng.choice(sorted(SYLLABLES)), 3) for lang in languages[::3]]
+    model = language_id.fit(language_id.packed_presence(texts), languages, landmarks=9)
+    sets = [plain_buckets(t) for t in texts]
+    cosine = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    marks = [sets[12 * k + turn] for turn in range(3) for k in range(3)]
+    k_nm, k_mm = (np.array([[cosine(a, b) for b in marks] for a in rows]) for rows in (sets, marks))
+    y = np.array([[1.0 if lang == name else -1.0 for name in sorted(SYLLABLES)] for lang in languages])
+    weights = np.linalg.solve(k_nm.T @ k_nm / 12 + language_id.RIDGE * k_mm + 1e-6 * np.eye(9), k_nm.T @ y / 12)
+    names, scores = model.predict(asked)
+    for text, name, score in zip(asked, names, scores, strict=True):
+        margins = np.array([cosine(plain_buckets(text), m) for m in marks]) @ weights
+        assert name == sorted(SYLLABLES)[int(np.argmax(margins))] and abs(score - min(1, max(0, (margins.max() + 1) / 2))) < 2e-3
 
 
 def test_toxicity_held_out(spark):

@@ -183,11 +183,13 @@ def test_top_products_against_all_pairs(spark, scale):
     rows += [(200 + k, rows[11][1]) for k in range(30)] + [(400, None), (401, [math.nan] * 6), (402, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (None, rows[0][1]), (20, rows[20][1]), (420, [])]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int")
     got = sorted(map(tuple, cover_tree.top_products(frame, F.col("vec_id") % 20 == 0, k=5, chunk=40, group=4).collect()))
-    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    assert len(whole) > len({i for i, _ in whole})
     expected = []
-    for q in (i for i in whole if i % 20 == 0):
-        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
-        expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    for own, (q, point) in enumerate(whole):
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(point, v, strict=True)), i) for other, (i, v) in enumerate(whole) if other != own)[:5]
+            expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
     assert got == sorted(expected)
 
 
@@ -197,7 +199,7 @@ def test_cover_tree_prunes_and_stays_exact():
     points = np.floor(np.concatenate([c + rng.normal(size=(200, 8)) * 3 for c in centres]))
     ids = np.arange(len(points))
     run = cover_tree.Search(points[::50], ids[::50], 7)
-    run.add(points, ids)
+    run.add(points, ids, ids)
     for row, q in enumerate(range(0, len(points), 50)):
         s = points @ points[q]
         best = sorted((-s[i], i) for i in ids if i != q)[:7]

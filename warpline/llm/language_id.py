@@ -32,18 +32,23 @@ def _letters() -> np.ndarray:
 
 
 def mark_presence(text: str | None, row: np.ndarray) -> bool:
-    """Set the buckets of the text's n-grams in ``row``; whether the text has a letter."""
+    """Set the buckets of the text's n-grams in ``row``; whether the text has a letter.
+
+    A piece begins with the last characters that the pieces before have left of the text, so pieces
+    change nothing, however long a run of other characters is.
+    """
     text, any_letter = text or "", False
+    rest, after_letter = np.zeros(0, dtype=np.uint32), False
     for start in range(0, len(text), PIECE):
-        piece = text[max(0, start - ORDER) : start + PIECE].lower()
-        codes = np.frombuffer(piece.encode("utf-32-le"), dtype="<u4")
+        codes = np.frombuffer(text[start : start + PIECE].lower().encode("utf-32-le"), dtype="<u4")
         letter = _letters()[codes]
-        if not letter.any():
-            continue
-        any_letter = True
+        any_letter |= bool(letter.any())
         keep = letter.copy()
         keep[1:] |= letter[:-1]  # the first of a run of other characters
-        codes = np.where(letter, codes, 32)[keep].astype(np.uint32)
+        keep[0] |= after_letter
+        after_letter = bool(letter[-1])
+        codes = np.concatenate([rest, np.where(letter, codes, 32)[keep].astype(np.uint32)])
+        rest = codes[-(ORDER - 1) :]
         h = codes.copy()
         for n in range(1, ORDER + 1):
             if n > 1:
@@ -81,12 +86,21 @@ class Classifier:
         return names, scores
 
 
-def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Classifier:
-    """Rows without a letter teach nothing. Landmarks are spread over the languages in turn."""
+def packed_presence(texts: list[str | None]) -> list[bytes | None]:
+    """The presence of each text's n-grams as ``BUCKETS`` bits; null for a text without a letter."""
+    out: list[bytes | None] = []
+    for text in texts:
+        row = np.zeros(BUCKETS, dtype=np.uint8)
+        out.append(np.packbits(row).tobytes() if mark_presence(text, row) else None)
+    return out
+
+
+def fit(presence: list[bytes | None], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Classifier:
+    """From rows of ``packed_presence``; texts without a letter teach nothing. Landmarks are spread over the languages in turn."""
     rows, kept = [], []
-    for text, language in zip(texts, languages, strict=True):
-        row = np.zeros(BUCKETS, dtype=np.float32)
-        if mark_presence(text, row):
+    for bits, language in zip(presence, languages, strict=True):
+        if bits is not None:
+            row = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(np.float32)
             rows.append(row / np.sqrt(row.sum()))
             kept.append(language)
     names = sorted(set(kept))
@@ -117,8 +131,18 @@ def identify_languages(docs: DataFrame, train: Column, id_col: str = "doc_id", t
     if counts:
         limits = [x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(int(min(1.0, rows_per_language / n) * (1 << 30))))]
         least = F.create_map(*limits)[F.col("lang")]
-    sample = labelled.where(F.pmod("h", F.lit(1 << 30)) < least).dropDuplicates(["lang", "h"]).orderBy("lang", "h").select("text", "lang").collect()
-    shared = docs.sparkSession.sparkContext.broadcast(fit([r["text"] for r in sample], [r["lang"] for r in sample]))
+    sample = labelled.where(F.pmod("h", F.lit(1 << 30)) < least).dropDuplicates(["lang", "h"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from warpline.llm.common import text_batches
+
+        for batch in text_batches(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed_presence(batch.column(2).to_pylist()), pa.binary())], names=["lang", "h", "bits"])
+
+    # What comes to the driver has a bound by rows and bytes: ``BUCKETS`` bits a row.
+    kind = labelled.schema["lang"].dataType.simpleString()
+    sample = sample.select("lang", "h", "text").mapInArrow(mark, f"lang {kind}, h bigint, bits binary").orderBy("lang", "h").collect()
+    shared = docs.sparkSession.sparkContext.broadcast(fit([r["bits"] for r in sample], [r["lang"] for r in sample]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from warpline.llm.common import text_batches
