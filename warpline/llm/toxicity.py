@@ -13,7 +13,7 @@ calibration are measured by models that leave them out.
 
 No n-gram is dropped. The counts, every order of the models and the evidence of the different n-grams to be scored are
 tables, made by aggregations that combine before the shuffle and by equi-joins; nothing of them is
-collected or sent to all machines by hand. Texts become numbered words of their batch (about 8 MB
+collected or sent to all machines by hand. Texts become numbered words of their batch (about 16 MB
 of text, or one text), and each batch meets the evidence of its own n-grams.
 """
 
@@ -177,7 +177,7 @@ def word_sums(words: list[str], values: np.ndarray) -> np.ndarray:
 
 
 _SPELT = "batch bigint, k1 bigint, k2 bigint, toxic int, at binary, words binary, grams array<string>"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 
 
 def packed_numbers(numbers: np.ndarray) -> bytes:
