@@ -44,7 +44,7 @@ def _fold_plain(text: Column) -> Column:
 
 def _is_rare(text: Column) -> Column:
     """Whether lower case and the sharp s do not make up the fold; texts of ASCII alone are not looked through."""
-    return (F.octet_length(text) > F.length(text)) & text.rlike(_RARE)
+    return (F.octet_length(text) > F.length(text)) & F.rlike(text, F.lit(_RARE))
 
 
 def fold(text: Column) -> Column:
