@@ -32,7 +32,7 @@ def plain_fold(steps):
 def test_fold_keeps_what_all_windows_share(spark):
     rng = random.Random(1)
     hits, expected = [], set()
-    for key in range(40):
+    for key in range(300):
         steps = []
         for at in sorted(rng.sample(range(20), rng.randint(1, 14))):
             found = {(rng.choice("pq"), rng.randint(0, 2)) for _ in range(rng.randint(1, 3))}
@@ -218,3 +218,7 @@ def test_alias_conflicts(spark):
     assert {r.query_id: (r.status, r.title_ids) for r in S.by_alias(queries, aliases, titles).collect()} == {1: ("chosen", "t1"), 2: ("ambiguous", "t1,t2"), 3: ("missing", "t9")}
 
 
+def test_origins_come_longest_first(spark):
+    given = [("d2", "p1", 9), ("d1", "p2", 9), ("d1", "p1", 9), ("d9", "p9", 30), ("d0", "p0", 8)]
+    found = O.ordered(spark.createDataFrame(given, "document_id string, phrase_id string, words int")).collect()
+    assert [(r.document_id, r.phrase_id) for r in found] == [("d9", "p9"), ("d1", "p1"), ("d1", "p2"), ("d2", "p1"), ("d0", "p0")]

@@ -57,13 +57,13 @@ def significant(runs: DataFrame, common: DataFrame, words_col: str = "run_words"
 def islands(hits: DataFrame, *keys: str, at: str = "at") -> DataFrame:
     """(keys, first, last): maximal stretches of consecutive ``at`` within ``keys``; repeated places count once."""
     order = Window.partitionBy(*keys).orderBy(at)
-    numbered = hits.select(*keys, at).distinct().withColumn("island", F.col(at) - F.row_number().over(order))
+    numbered = hits.select(*keys, at, (F.col(at) - F.dense_rank().over(order)).alias("island"))
     return numbered.groupBy(*keys, "island").agg(F.min(at).alias("first"), F.max(at).alias("last")).drop("island")
 
 
 def place_intervals(places: DataFrame) -> DataFrame:
     """(article_id, first, end) of distinct (article_id, position) rows, merged where consecutive."""
-    return islands(places, "article_id", at="position").select("article_id", "first", (F.col("last") + 1).alias("end"))
+    return islands(places.distinct(), "article_id", at="position").select("article_id", "first", (F.col("last") + 1).alias("end"))
 
 
 def longest_runs(hits: DataFrame, common: DataFrame, word_rows: DataFrame, left: str, right: str) -> DataFrame:
@@ -73,39 +73,64 @@ def longest_runs(hits: DataFrame, common: DataFrame, word_rows: DataFrame, left:
     right one at ``other_at``. Hits on one diagonal merge where consecutive. Of equally long runs
     the one on the diagonal that was met first wins, then the earlier one. ``word_rows`` has the left texts' words ``w``.
     """
-    hits = hits.withColumn("diagonal", F.col("at") - F.col("other_at"))
-    stretches = islands(hits, left, right, "diagonal")
-    met = hits.groupBy(left, right, "diagonal").agg(F.min("at").alias("met"), F.min_by("other_at", "at").alias("met_other"))
-    runs = stretches.join(met, [left, right, "diagonal"]).withColumn("end", F.col("last") + T.WINDOW)
+    diagonal = Window.partitionBy(left, right, "diagonal")
+    stretches = islands(hits.select(left, right, "at", (F.col("at") - F.col("other_at")).alias("diagonal")), left, right, "diagonal")
+    runs = stretches.withColumn("met", F.min("first").over(diagonal)).withColumns({"met_other": F.col("met") - F.col("diagonal"), "end": F.col("last") + T.WINDOW})
     runs = runs.join(word_rows.select(left, "w"), left).withColumn("run_words", F.slice("w", F.col("first") + 1, F.col("end") - F.col("first"))).drop("w")
     kept = significant(runs, common)
     best = Window.partitionBy(left, right).orderBy(F.desc(F.col("end") - F.col("first")), "met", "met_other", "first")
     return kept.withColumn("place", F.row_number().over(best)).where("place = 1").select(left, right, "first", "end", (F.col("end") - F.col("first")).alias("words"), "run_words")
 
 
+def reaches(spans: Column) -> Column:
+    """array<struct<start, last>> of the greedy runs over sorted ``spans`` (structs of first and last).
+
+    A run begins at the first place that no run has yet and goes as far as the longest span that holds
+    its beginning. ``next`` is the last place of the longest span seen that holds the place after the open run.
+    """
+    run = "struct<start:int,last:int>"
+    start = F.struct(*(F.lit(None).cast("int").alias(n) for n in ("start", "last", "next")), F.expr(f"cast(array() as array<{run}>)").alias("done"))
+
+    def closed(acc: Column) -> Column:
+        return F.concat(acc["done"], F.array(F.struct(acc["start"], acc["last"])))
+
+    def state(begin: Column, last: Column, following: Column, done: Column) -> Column:
+        return F.struct(begin.cast("int").alias("start"), last.cast("int").alias("last"), following.cast("int").alias("next"), done.cast(f"array<{run}>").alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        longer, here = F.greatest(acc["next"], x["last"]), x["first"]
+        moved = F.struct((acc["last"] + 1).alias("start"), acc["next"].alias("last"))
+        both = F.concat(closed(acc), F.array(moved))
+        return (
+            F.when(acc["start"].isNull(), state(here, x["last"], x["last"], acc["done"]))
+            .when(here == acc["start"], state(here, F.greatest(acc["last"], x["last"]), longer, acc["done"]))
+            .when(here <= acc["last"] + 1, state(acc["start"], acc["last"], longer, acc["done"]))
+            .when(acc["next"] <= acc["last"], state(here, x["last"], x["last"], closed(acc)))
+            .when(here <= acc["next"] + 1, state(moved["start"], moved["last"], longer, closed(acc)))
+            .otherwise(state(here, x["last"], x["last"], both))
+        )
+
+    def ended(acc: Column) -> Column:
+        rest = F.when(acc["next"] > acc["last"], F.array(F.struct((acc["last"] + 1).alias("start"), acc["next"].alias("last"))))
+        return F.when(acc["start"].isNull(), acc["done"]).otherwise(F.concat(closed(acc), F.coalesce(rest, F.expr(f"cast(array() as array<{run}>)"))))
+
+    return F.aggregate(spans, start, step, ended)
+
+
 def fold_runs(hits: DataFrame, key: str) -> DataFrame:
     """(key, start, last, diagonals): the greedy runs of the windows that hit.
 
     ``hits`` holds (key, at, article_id, other_at). Each window has the set of its diagonals (article,
     shift). A run goes on while the next window shares a diagonal with all of it, and keeps the shared
     ones alone; otherwise the next window begins a run of its own. A window without hits ends a run.
-    """
-    # Dealt out by key at once, so that both aggregations find their rows together; into a set number of
-    # partitions, as the folds are more work than the rows' bytes tell.
-    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = hits.repartition(parts, key).groupBy(key, "at").agg(F.array_sort(F.collect_set(F.struct("article_id", (F.col("other_at") - F.col("at")).alias("shift")))).alias("diagonals"))
-    per_key = sets.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "diagonals"))).alias("steps"))
-    diagonals = "array<struct<article_id:string,shift:int>>"
-    run = f"struct<start:int,last:int,diagonals:{diagonals}>"
-    start = F.struct(F.lit(None).cast(run).alias("open"), F.expr(f"cast(array() as array<{run}>)").alias("done"))
 
-    def step(acc: Column, x: Column) -> Column:
-        shared = F.array_intersect(acc["open"]["diagonals"], x["diagonals"])
-        goes_on = acc["open"].isNotNull() & (x["at"] == acc["open"]["last"] + 1) & (F.size(shared) > 0)
-        longer = F.struct(acc["open"]["start"].alias("start"), x["at"].alias("last"), shared.alias("diagonals"))
-        fresh = F.struct(x["at"].alias("start"), x["at"].alias("last"), x["diagonals"].alias("diagonals"))
-        done = F.when(goes_on | acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
-        return F.struct(F.when(goes_on, longer).otherwise(fresh).cast(run).alias("open"), done.alias("done"))
-
-    runs = F.aggregate("steps", start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-    return per_key.select(key, F.explode(runs).alias("run")).select(key, "run.start", "run.last", "run.diagonals")
+    So a run goes as far as the longest stretch on one diagonal that holds its beginning, and keeps the diagonals
+    of the stretches that end with it. Only the different ends of stretches of a key meet in one row, not its windows.
+    """
+    shifted = hits.select(key, "at", "article_id", (F.col("other_at") - F.col("at")).alias("shift"))
+    stretches = islands(shifted, key, "article_id", "shift")
+    ends = stretches.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last")))).alias("spans"))
+    runs = ends.select(key, F.explode(reaches(F.col("spans"))).alias("run")).select(key, "run.start", "run.last")
+    held = stretches.join(runs, [key, "last"]).where(F.col("first") <= F.col("start"))
+    diagonals = F.array_sort(F.collect_list(F.struct("article_id", "shift"))).alias("diagonals")
+    return held.groupBy(key, "start", "last").agg(diagonals)
