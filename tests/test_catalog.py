@@ -10,12 +10,15 @@ from warpline import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["tokens_count", "word_offsets", "shingles8", "rarity_df", "adopted_phrases", "credits", "origin_matches", "tabled_phrases", "bm25_topk", "title_search", "group_interval", "funnel", "graph_edges", "review_summary", "procedure_catalog", "stage_dedupe"]
+CHECKED = [
+    "tokens_count", "word_offsets", "shingles8", "rarity_df", "adopted_phrases", "credits", "origin_matches", "tabled_phrases", "bm25_topk", "title_search", "group_interval", "funnel", "graph_edges", "review_summary", "procedure_catalog", "stage_dedupe",
+    "input_hash", "lineage_counts", "consultation_documents", "dated_adoptions", "earlier_and_ratio", "node_search", "coverage_lines", "publications_of_law", "initiatives_by_title", "initiatives", "member_spells", "register_actors", "printed_dates",
+]
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables are not here")
 
 
 def plain(rows):
-    return sorted(tuple(round(v, 6) if isinstance(v, float) else str(v) for v in r) for r in rows)
+    return sorted((tuple(round(v, 6) if isinstance(v, float) else str(v) for v in r) for r in rows), key=repr)
 
 
 @pytest.fixture(scope="module")

@@ -39,9 +39,15 @@ def query(sql: str | None = None, world: bool = False) -> Callable[[Query], Quer
     return add
 
 
+_LAST: list[Lineage] = []
+
+
 def _lineage(spark: SparkSession, sf_dir: str) -> Lineage:
-    """A query's own lineage; its shared parts are persisted, and go with the session's cache."""
-    return Lineage.of_tables(spark, sf_dir, keep=True)
+    """A query's own lineage. Its shared parts are persisted until the next query's; a result read after that computes them again."""
+    while _LAST:
+        _LAST.pop().close()
+    _LAST.append(Lineage.of_tables(spark, sf_dir, keep=True))
+    return _LAST[0]
 
 
 def day(column: str) -> Column:
@@ -157,7 +163,7 @@ def change_direction(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.direction(words).alias("direction"))
 
 
-@query()
+@query("select conv_id, turn, sha256(conv_id || chr(0) || role || chr(0) || text || chr(0)) as key from conversations")
 def input_hash(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.input_hash(F.col("conv_id"), F.col("role"), F.col("text")).alias("key"))
 
@@ -661,7 +667,10 @@ def five_answers(spark, d):
     return I.answers(x.ranking, I.channel_counts(x.adoptions), x.credits)
 
 
-@query()
+@query(lineage_sql(_ALL_ORIGINS + """ select (select count(*) from amendments) as amendments, (select count(distinct amendment_id) from carried) as amendments_adopting, (select count(distinct phrase_id) from carried) as adopted_phrases,
+(select count(distinct phrase_id) from carried where phrase_id not in (select phrase_id from carried join amendments using (amendment_id) where author_group is not null)) as phrases_without_group,
+(select count(*) from consultations) as documents_read, (select count(distinct document_id) from every where eligibility = 'ask_first') as documents_with_origin,
+(select count(*) from (select distinct article_id, unnest(range(place_, place_ + 8)) from novel)) as changed_units, (select count(*) from (select distinct article_id, position from places)) as linked_units"""), True)
 def lineage_counts(spark, d):
     return _lineage(spark, d).counts()
 
@@ -1033,3 +1042,113 @@ def feedback_pages(spark, d):
     rows = table(spark, d, "customer").select((F.col("c_custkey") / 100).cast("long").alias("page"), F.col("c_nationkey").alias("publication"), F.col("c_custkey").alias("feedback_id"))
     last = rows.groupBy("publication").agg(F.floor(F.count(F.lit(1)) / 4).alias("last_page"))
     return feedback.read_pages(rows, last)
+
+
+@query("select doc_id, lang from documents where lang in ('en', 'fr')")
+def consultation_documents(spark, d):
+    """English and French stand for the two kinds that somebody submits."""
+    kind = F.when(F.col("lang") == "en", "hys_feedback").when(F.col("lang") == "fr", "hys_attachment").otherwise("proposal")
+    return O.consultation_only(table(spark, d, "documents").select("doc_id", "lang", kind.alias("source_kind"))).drop("source_kind")
+
+
+@query("""select l_orderkey::varchar as amendment_id, l_linenumber, strftime(case when l_returnflag = 'N' then o_orderdate else l_shipdate end, '%Y-%m-%d') as tabled_on
+from lineitem left join orders on o_orderkey = l_orderkey""")
+def dated_adoptions(spark, d):
+    """Lines stand for adoptions, those not returned for such without a day, and orders for their amendments."""
+    own = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("amendment_id"), "l_linenumber", F.when(F.col("l_returnflag") != "N", F.to_date("l_shipdate")).alias("tabled_on"))
+    amendments = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("amendment_id"), F.to_date("o_orderdate").alias("tabled_on"))
+    return O.with_tabling_days(own, amendments).withColumn("tabled_on", day("tabled_on"))
+
+
+@query("""select l_orderkey, l_linenumber, strftime(least(l_shipdate, o_orderdate), '%Y-%m-%d') as earlier, round(l_extendedprice / nullif(l_discount, 0), 6) as ratio from lineitem left join orders on o_orderkey = l_orderkey""")
+def earlier_and_ratio(spark, d):
+    """An order that is not there has no day, a line without discount nothing to divide by."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return rows.select("l_orderkey", "l_linenumber", F.date_format(I.earlier(F.col("l_shipdate"), F.col("o_orderdate")), "yyyy-MM-dd").alias("earlier"), F.round(I.ratio(F.col("l_extendedprice"), F.col("l_discount")), 6).alias("ratio"))
+
+
+@query("select c_name as label, count(*) as phrases from customer join orders on o_custkey = c_custkey where contains(lower(c_name), 'r#0000000') group by c_name order by phrases desc, label limit 8")
+def node_search(spark, d):
+    nodes = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_name").alias("label")).agg(F.count(F.lit(1)).alias("phrases"))
+    return I.find_nodes(nodes, " R#0000000 ")
+
+
+@query("""select event_id, replace(event_type || '_read', '_', ' ') || case when user_id % 3 <> 0 then ' (' || user_id || ')' else '' end || case when value >= 1 then ': ' || props else '' end as line from events""")
+def coverage_lines(spark, d):
+    count, reason = F.when(F.col("user_id") % 3 != 0, F.col("user_id")), F.when(F.col("value") >= 1, F.col("props"))
+    return table(spark, d, "events").select("event_id", I.coverage_line(F.concat("event_type", F.lit("_read")), count, reason).alias("line"))
+
+
+@query("""select o_orderkey from orders where o_orderstatus = 'F' or (o_orderstatus = 'O' and year(o_orderdate) = 1997) or o_orderpriority = '1-URGENT'""")
+def publications_of_law(spark, d):
+    """Publications that name no reference, one of the year's, or two of which one is the law's."""
+    own, other = F.concat(F.lit("see COM("), F.year("o_orderdate").cast("string"), F.lit(") 0012 final")), F.lit("COM(2003)7")
+    text = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("COM(2003)7 and COM(1997) 12")).when(F.col("o_orderstatus") == "F", F.lit("none")).when(F.col("o_orderstatus") == "O", own).otherwise(other)
+    return table(spark, d, "orders").where(feedback.for_this_law(T.com_references(text), "COM(1997)12")).select("o_orderkey")
+
+
+@query("""select s_suppkey as initiative_id, 'title' as found_by from supplier where s_acctbal < 0 and contains(lower(s_name), 'supplier#0')""")
+def initiatives_by_title(spark, d):
+    """No entry has the law's reference alone in the index, so words of the title propose and the reference decides."""
+    coms = F.when(F.col("s_acctbal") < 0, F.array(F.lit("COM(2021)206"), F.lit("COM(2020)1"))).otherwise(F.array(F.lit("COM(2020)1")))
+    entries = table(spark, d, "supplier").select(F.col("s_suppkey").alias("initiative_id"), F.col("s_name").alias("title"), coms.alias("com_references"))
+    return feedback.find_by_title(entries, "SUPPLIER#0 artificial", "COM(2021)206").select("initiative_id", F.lit("title").alias("found_by"))
+
+
+@query("""select s_suppkey as initiative_id, 'reference' as found_by from supplier where s_acctbal < 0""")
+def initiatives(spark, d):
+    """Where a reference is found, titles are not asked."""
+    coms = F.when(F.col("s_acctbal") < 0, F.array(F.lit("COM(2020)1"), F.lit("COM(2021)206"))).otherwise(F.expr("cast(array() as array<string>)"))
+    entries = table(spark, d, "supplier").select(F.col("s_suppkey").alias("initiative_id"), F.col("s_name").alias("title"), coms.alias("com_references"))
+    return feedback.initiatives(entries, "COM(2021)206", "Supplier").select("initiative_id", "found_by")
+
+
+@query("""with o as (select o_custkey, 'g' || o_orderpriority as g, strftime(o_orderdate, '%Y-%m-%d') as s, case when o_orderstatus <> 'O' then strftime(o_orderdate + interval 90 day, '%Y-%m-%d') end as e from orders)
+select c_custkey as member_id, 'actor:mep:' || c_custkey as actor_id, c_name as name, arg_max(g, coalesce(e, '') || ' ' || s || ' ' || g) as latest_group, count(*) as n_spells, min(s) as first_start, max(e) as last_end
+from customer join o on o_custkey = c_custkey where c_mktsegment = 'BUILDING' group by c_custkey, c_name""")
+def member_spells(spark, d):
+    """Customers stand for members, their orders for spells in groups; an open order's spell has no end."""
+    start = F.date_format("o_orderdate", "yyyy-MM-dd")
+    end = F.when(F.col("o_orderstatus") != "O", F.date_format(F.date_add("o_orderdate", 90), "yyyy-MM-dd"))
+    spells = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.concat(F.lit("g"), "o_orderpriority").alias("groupid"), start.alias("start"), end.alias("end"))).alias("Groups"))
+    none = F.expr("cast(array() as array<struct<country:string,start:string,end:string>>)")
+    c = table(spark, d, "customer")
+    records = c.join(spells, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_custkey").alias("UserID"), F.struct(F.col("c_name").alias("full")).alias("Name"), "Groups", none.alias("Constituencies"))
+    found = dump.members(records, c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("member_id")))
+    days = lambda pick, name: pick(F.transform("spells", lambda x: x[name]))
+    return found.select("member_id", "actor_id", "name", "latest_group", F.size("spells").cast("long").alias("n_spells"), F.date_format(days(F.array_min, "start"), "yyyy-MM-dd").alias("first_start"), F.date_format(days(F.array_max, "end"), "yyyy-MM-dd").alias("last_end"))
+
+
+@query("""select 'actor:tr:' || lpad(s_suppkey::varchar, 6, '0') || '-12' as actor_id, s_name as name, case when n_regionkey < 3 then 'C' || n_regionkey else 'nowhere' end as country,
+case when s_acctbal < 0 then 0.5 * round(-s_acctbal) else round(s_acctbal) end as eur, s_name || ',' || 'ß' || s_nationkey as aliases
+from supplier join nation on n_nationkey = s_nationkey where s_acctbal not between 1000 and 3000""")
+def register_actors(spark, d):
+    """Suppliers as raw entries: some without a usable id; sums or bands without a floor; countries by name, or unknown."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    none, less = F.lit(None).cast("string"), F.col("s_acctbal") < 0
+    key = F.concat(F.lit(" "), F.lpad(F.col("s_suppkey").cast("string"), 6, "0"), F.when(F.col("s_acctbal").between(1000, 3000), "/12").otherwise("-12"))
+    amount = F.round(F.abs("s_acctbal")).cast("long").cast("string")
+    costs = F.struct(F.lit("€").alias("_currency"), F.when(~less, amount).alias("absoluteCost"), F.struct(none.alias("min"), F.when(less, amount).alias("max")).alias("range"))
+    raw = s.select(
+        key.alias("identificationCode"), F.struct(F.concat("s_name", F.lit("  ")).alias("originalName"), F.concat(F.lit("ß"), F.col("s_nationkey").cast("string")).alias("nameInLatinAlphabet")).alias("name"), none.alias("acronym"), none.alias("registrationCategory"),
+        none.alias("webSiteURL"), F.struct(F.when(F.col("n_regionkey") < 3, F.lower("r_name")).otherwise("nowhere").alias("country")).alias("headOffice"),
+        F.struct(F.struct(costs.alias("costs"), F.struct(none.alias("absoluteCost")).alias("totalBudget")).alias("closedYear")).alias("financialData"),
+    )
+    countries = table(spark, d, "region").select(F.col("r_name").alias("name"), F.concat(F.lit("C"), F.col("r_regionkey").cast("string")).alias("code"))
+    usable, _ = register.entries(raw, countries)
+    actors = register.to_actors(usable).join(usable.select("register_id", F.col("declared_cost_eur").alias("eur")), "register_id")
+    return actors.select("actor_id", "name", "country", "eur", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("""select doc_id, strftime(make_date(2020, 1 + (length(text) % 12)::int, 1 + (length(text) % 28)::int), '%Y-%m-%d') as published_on from documents where lang <> 'en'""")
+def printed_dates(spark, d):
+    """Headers with a date after another block; English documents print none that is in the header's class."""
+    n = F.length("text")
+    date = F.concat_ws(".", (1 + n % 28).cast("string"), (1 + n % 12).cast("string"), F.lit("2020"))
+    blocks = F.array(
+        F.struct(F.lit(1).alias("n"), F.array(F.lit("oj-hd-ti")).alias("classes"), F.lit("Official Journal").alias("text")),
+        F.struct(F.lit(2).alias("n"), F.array(F.when(F.col("lang") == "en", "other").otherwise(acts.DATE_CLASS)).alias("classes"), date.alias("text")),
+        F.struct(F.lit(3).alias("n"), F.array(F.lit(acts.DATE_CLASS)).alias("classes"), F.lit("no date").alias("text")),
+    )
+    rows = table(spark, d, "documents").where("lang is not null").select("doc_id", F.inline(blocks))
+    return acts.published_on(rows, "doc_id").withColumn("published_on", day("published_on"))

@@ -10,17 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from warpline.session import spread
 
 #: Tables whose rows are texts: a small file of them holds much work.
 TEXTS = ("documents", "pages", "conversations")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of fewer files than there are cores are dealt out, as a file's one row group is one task; others stay where they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df) if name in TEXTS else df

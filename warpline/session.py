@@ -1,4 +1,4 @@
-"""The package on executors that cannot import it."""
+"""What depends on the session: the package on executors that cannot import it, rows dealt over the cores."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -26,3 +26,9 @@ def ship(spark: SparkSession) -> None:
                 archive.write(full, os.path.join("warpline", os.path.relpath(full, root)))
     context.addPyFile(path)
     context._warpline_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores are dealt out, as a file's one row group is one task; others stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from warpline.functions import text as T
+from warpline.session import spread
 
 PROCEDURE = r"^\d{4}/\d{4}[A-Z]?\([A-Z]{3}\)$"
 # Stage names, event types and committee types of the dump.
@@ -28,9 +29,9 @@ def dump_lines(spark: SparkSession, path: str, containing: str | None = None) ->
     """(value) of every record line, the array's brackets and commas taken off.
 
     ``containing`` is looked for in the raw line, before anything is parsed. Compressed files are read as they are;
-    splittable ones and many files in parallel.
+    splittable ones and many files in parallel. Lines of fewer files than cores are dealt out before they are parsed.
     """
-    lines = spark.read.text(path) if isinstance(path, str) else path
+    lines = spread(spark.read.text(path) if isinstance(path, str) else path)
     body = F.regexp_replace(F.trim("value"), r"^[\[,]|\]$", "")
     lines = lines.where(F.col("value").contains(containing)) if containing else lines
     return lines.select(F.trim(body).alias("value")).where("value <> ''")
