@@ -204,3 +204,26 @@ def test_cover_tree_prunes_and_stays_exact():
         s = points @ points[q]
         best = sorted((-s[i], i) for i in ids if i != q)[:7]
         assert [(-a, b) for a, b in zip(run.scores[row], run.found[row], strict=True)] == best
+
+
+def test_large_keys_lose_no_link(spark, monkeypatch):
+    """Groups do not depend on the size of blocks: two groups of near copies that share keys, and texts apart from all."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(4000)]
+    bases = [list(rng.choice(words, 60)) for _ in range(3)]
+    texts = [" ".join(b) for b in bases]
+    for i in range(90):
+        copy = list(bases[i % 2])
+        copy[int(rng.integers(60))] = f"x{i}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(rng.choice(words, 60)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for block in (512, 4):
+        monkeypatch.setattr(similar_texts, "BLOCK", block)
+        groups = {}
+        for r in similar_texts.similar_groups(docs).collect():
+            groups.setdefault(r.group, set()).add(r.id)
+        found.append(sorted(map(sorted, groups.values())))
+    assert found[0] == found[1]
+    assert {len(g) for g in found[0]} == {46, 1} and sum(len(g) == 46 for g in found[0]) == 2
