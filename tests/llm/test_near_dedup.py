@@ -227,3 +227,9 @@ def test_large_keys_lose_no_link(spark, monkeypatch):
         found.append(sorted(map(sorted, groups.values())))
     assert found[0] == found[1]
     assert {len(g) for g in found[0]} == {46, 1} and sum(len(g) == 46 for g in found[0]) == 2
+
+
+def test_replicas_are_never_broadcast(spark):
+    prints = Scratch(spark, "prints").save(spark.range(1000).select(F.xxhash64("id").alias("print")), "prints")
+    plan = simhash_dedup.print_links(prints)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

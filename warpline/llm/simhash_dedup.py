@@ -149,13 +149,16 @@ def hex_print(column: Column | str) -> Column:
 
 
 def print_links(prints: DataFrame) -> DataFrame:
-    """(a, b), a < b, for all pairs of different values of column ``print`` (distinct) within the threshold."""
+    """(a, b), a < b, for all pairs of different values of column ``print`` (distinct) within the threshold.
+
+    The join must merge: the planner takes the replicas for as small as the prints they are made of, and would have the driver gather and broadcast them.
+    """
     prints = prints.select("print").repartition(max(1, prints.count() // TASK_PRINTS), "print")
     homes = prints.mapInArrow(_spread(False), "anchor bigint, print bigint")
     replicas = prints.mapInArrow(_spread(True), "anchor bigint, print bigint")
     h, r = homes.alias("h"), replicas.alias("r")
     near = (F.col("h.print") < F.col("r.print")) & (F.bit_count(F.col("h.print").bitwiseXOR(F.col("r.print"))) <= THRESHOLD)
-    return h.join(r, (F.col("h.anchor") == F.col("r.anchor")) & near).select(F.col("h.print").alias("a"), F.col("r.print").alias("b"))
+    return h.join(r.hint("merge"), (F.col("h.anchor") == F.col("r.anchor")) & near).select(F.col("h.print").alias("a"), F.col("r.print").alias("b"))
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
