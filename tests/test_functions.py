@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -184,3 +185,15 @@ def test_direction(spark):
     word = lambda o, w: F.struct(F.lit(o).alias("operation"), F.lit(w).alias("word"))
     assert one(spark, T.direction(F.array(word("insert", "Shall,"), word("delete", "may")))) == "stricter"
     assert one(spark, T.direction(F.array(word("insert", "may"), word("insert", "must")))) == "unknown"
+
+
+def test_word_rows_come_in_small_batches(spark, monkeypatch):
+    texts = ["Straße 1,5% x", None, "", "é " * 50, "- a -"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["id", "t"])
+    monkeypatch.setattr(U, "WORD_ROWS", 8)
+    parts = list(U._word_batches(iter([batch, batch]), ["id", "word", "start", "end"]))
+    assert max(p.num_rows for p in parts) <= 8
+    expected = [(i, w, s, e) for i, t in enumerate(texts) for w, s, e in U._places(t or "")]
+    assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == expected * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    assert sorted(map(tuple, U.word_rows(df, "id", "t").collect())) == sorted(expected)
