@@ -13,6 +13,7 @@ from warpline.operators import matching as M
 from warpline.operators import origins as O
 from warpline.operators import review as R
 from warpline.operators import search as S
+from warpline.operators.meeting import meeting
 from warpline.plans.lineage import Lineage
 
 
@@ -222,3 +223,30 @@ def test_origins_come_longest_first(spark):
     given = [("d2", "p1", 9), ("d1", "p2", 9), ("d1", "p1", 9), ("d9", "p9", 30), ("d0", "p0", 8)]
     found = O.ordered(spark.createDataFrame(given, "document_id string, phrase_id string, words int")).collect()
     assert [(r.document_id, r.phrase_id) for r in found] == [("d9", "p9"), ("d1", "p1"), ("d1", "p2"), ("d2", "p1"), ("d0", "p0")]
+
+
+def test_windows_that_cannot_meet_are_not_dealt(spark):
+    rng = random.Random(5)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    common = text()
+    left = [common[:20] + text(), [], ["a"] * 7, text() + common[10:30]]
+    right = [text(), text()[:5] + common + text(), common[:8]]
+    one, two = (spark.createDataFrame(list(enumerate(x)), "id int, w array<string>").repartition(3) for x in (left, right))
+    within = meeting(one, two)
+    grams = lambda rows: {(i, k, " ".join(w[k : k + 8])) for i, w in enumerate(rows) for k in range(len(w) - 7)}
+    shared = {g for *_, g in grams(left)} & {g for *_, g in grams(right)}
+    for df, rows in ((one, left), (two, right)):
+        got = {(r.id, r.at, r.gram) for r in M.exploded_windows(df, "id", within=within).collect()}
+        assert got == {x for x in grams(rows) if x[2] in shared} and got  # no chance hit among so few
+        assert {tuple(x) for x in M.exploded_windows(df, "id").collect()} == grams(rows)
+
+
+def test_novel_places_are_those_of_the_novel_windows(spark):
+    rng = random.Random(6)
+    texts = [[rng.choice("abc") for _ in range(n)] for n in (400, 300, 7, 0, 8, 500)]
+    rows = [(f"{i}", "proposal" if i % 2 else "final_act", w) for i, w in enumerate(texts)]
+    df = spark.createDataFrame(rows, "article_id string, stage string, w array<string>")
+    drafted = {tuple(w[k : k + 8]) for _, s, w in rows if s == "proposal" for k in range(len(w) - 7)}
+    expected = sorted((i, k) for i, s, w in rows if s == "final_act" for k in range(len(w) - 7) if tuple(w[k : k + 8]) not in drafted)
+    assert sorted(map(tuple, M.novel_places(df).collect())) == expected
+    assert sorted(map(tuple, M.novel_windows(df).select("article_id", "at").collect())) == expected
