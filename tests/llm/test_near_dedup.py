@@ -233,3 +233,15 @@ def test_replicas_are_never_broadcast(spark):
     prints = Scratch(spark, "prints").save(spark.range(1000).select(F.xxhash64("id").alias("print")), "prints")
     plan = simhash_dedup.print_links(prints)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_keys_shared_by_chance_are_not_joined(spark, monkeypatch):
+    def joined(*_):
+        raise AssertionError("rows of small keys are joined")
+
+    monkeypatch.setattr(similar_texts, "_dealt", joined)
+    rows = [(1, 1, 0, 0, 7), (2, 2, 1, 0, 7), (3, 3, -1, -1, 7), (4, 4, 0, 0, 8)]
+    keyed = spark.createDataFrame(rows, "s1 long, s2 long, f1 long, f2 long, key long")
+    found = similar_texts._coarse_groups(keyed, Scratch(spark, "keys")).collect()
+    node = lambda n: f"{n:016X}".lower() * 2
+    assert sorted(map(tuple, found)) == [(node(1), node(1)), (node(2), node(1))]
