@@ -250,3 +250,24 @@ def test_novel_places_are_those_of_the_novel_windows(spark):
     expected = sorted((i, k) for i, s, w in rows if s == "final_act" for k in range(len(w) - 7) if tuple(w[k : k + 8]) not in drafted)
     assert sorted(map(tuple, M.novel_places(df).collect())) == expected
     assert sorted(map(tuple, M.novel_windows(df).select("article_id", "at").collect())) == expected
+
+
+def test_kept_tables_cut_the_plan(world):
+    for name in ("runs", "phrases", "carried", "origins", "tabled_runs", "all_origins"):
+        plan = getattr(world, name)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan, name
+
+
+def test_growing_sides_are_never_broadcast(world):
+    drafted = world.article_words.where("stage = 'proposal'")
+    made = (
+        A.adopted_runs(world.amendment_words, world.article_words, world.common), A.adopted_phrases(world.runs, world.article_words), A.carriers(world.runs, world.phrases),
+        O.phrase_runs(world.phrases, world.document_words, world.common), O.tabled_runs(world.amendment_words, drafted, world.document_words, world.common),
+        O.unadopted_runs(world.tabled_runs, world.phrases), *O.tabled_origins(world.tabled_runs, world.documents, world.amendments),
+    )
+    for df in made:
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_credits_compare_digests_of_wordings(world):
+    assert {len(r.wording) for r in world.wording.collect()} == {64}

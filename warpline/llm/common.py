@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from warpline.session import Scratch, shared_folder  # noqa: F401
+
 #: The characters that separate words in all contracts of this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, which all machines of a cluster see.
-
-    Where it is unset, a local session gets a folder of its own; a cluster is refused, as executors
-    would not see each other's files.
-    """
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-    folder = "file://" + tempfile.mkdtemp(prefix="warpline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def fresh(taken: Iterable[str], *names: str) -> list[str]:
     """Column names like ``names`` that no column in ``taken`` has, whatever the case of its letters."""
     used = {t.lower() for t in taken}
@@ -47,28 +32,6 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-class Scratch:
-    """Tables written to the shared folder to cut lineage and to be read more than once.
-
-    They are Parquet files under a fresh name, so a lost executor costs a reread, not a rerun.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/warpline/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the component's smallest node.
 
