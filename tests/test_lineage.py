@@ -271,3 +271,11 @@ def test_growing_sides_are_never_broadcast(world):
 
 def test_credits_compare_digests_of_wordings(world):
     assert {len(r.wording) for r in world.wording.collect()} == {64}
+
+
+def test_dangling_broadcasts_nothing_and_finds_all(world, spark):
+    both = world.phrases.limit(1).select("phrase_id").collect()[0][0]
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "phrase_id string")
+    found = O.dangling(world.phrases, ids(both), ids(both, "gone"), world.carried, world.amendments)
+    assert {(r.problem, r.key) for r in found.collect()} == {("adopted and tabled", both), ("origin without phrase", "gone")}
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
