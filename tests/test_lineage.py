@@ -279,3 +279,8 @@ def test_dangling_broadcasts_nothing_and_finds_all(world, spark):
     found = O.dangling(world.phrases, ids(both), ids(both, "gone"), world.carried, world.amendments)
     assert {(r.problem, r.key) for r in found.collect()} == {("adopted and tabled", both), ("origin without phrase", "gone")}
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_ranking_broadcasts_no_phrases(world):
+    plan = I.rank_organisations(world.all_origins, world.phrases)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [phrase_id" in plan and "BroadcastHashJoin [phrase_id" not in plan
