@@ -253,7 +253,7 @@ def test_novel_places_are_those_of_the_novel_windows(spark):
 
 
 def test_kept_tables_cut_the_plan(world):
-    for name in ("runs", "phrases", "carried", "origins", "tabled_runs", "all_origins"):
+    for name in ("runs", "phrases", "carried", "origins", "tabled_runs", "all_origins", "units"):
         plan = getattr(world, name)._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "Aggregate" not in plan, name
 
